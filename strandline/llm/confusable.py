@@ -29,6 +29,8 @@ LATIN_GREEK = "ovcjABCEHIJKMNOPTXYZ"
 GREEK______ = "ονϲϳΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖ"
 LATIN_ARMENIAN = "ohuOSU"
 ARMENIAN______ = "օհսՕՏՍ"
+#: Letters of these that are in common use. A word that could be spelled in several scripts is spelled in one only with its common letters.
+COMMON = {"Cyrillic": "аеорсухАВЕКМНОРСТХ", "Greek": GREEK______, "Armenian": ARMENIAN______}
 #: Further look-alikes that are never a spelling of their own: the capital palochka.
 OTHERS = {"Ӏ": "I"}
 #: Joined letters that are taken apart, besides those of the block of ligatures.
@@ -147,6 +149,8 @@ def one_form(text: str) -> str:
         script = chosen[i]
         if script is None:
             script = near[i][1] if near[i][1] in known[w] else "Latin"
+            if script in COMMON and not set(COMMON[script]).issuperset(c for c in unicodedata.normalize("NFD", w).translate(spell[script]) if not unicodedata.combining(c)):
+                script = "Latin"
         table = spell.get(script)
         if table:
             out.append(bare[at:a])

@@ -21,7 +21,8 @@ def words(c: Column) -> Column:
 
     NULL stays NULL; a text without letters and digits gives the empty text.
     """
-    folded = F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+    # capitals first, so that ß becomes SS; the replacement of the capital ß also keeps the optimizer from merging both conversions
+    folded = F.replace(F.lower(F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ"))
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 

@@ -1,6 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-from strandline.plans import problems
+from strandline.plans import lineage, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **lineage.QUERIES}
+SQL = {**problems.SQL, **lineage.SQL}

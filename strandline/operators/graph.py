@@ -35,30 +35,48 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFr
 
 
 def levels(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
-    """(node, level): 0 without a parent, else one more than the highest parent's; -1 for nodes on or behind a cycle. links: (parent, child), repeats count once."""
+    """(node, level): 0 without a parent, else one more than the highest parent's; -1 for nodes on or behind a cycle. links: (parent, child), repeats count once.
+
+    Chains of nodes with one parent are contracted by pointer doubling, so rounds grow with the logarithm of their length; only nodes with
+    several parents are resolved layer by layer.
+    """
     links = cut(links.select("parent", "child").distinct(), "links")
-    rest = Cut(nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct(), "rest", "true")
-    done: list[DataFrame] = []
-    level = 0
-    while rest.counted:
-        # several layers for each table that is written; links whose parent is still there hold their child back
-        layers = rest.df.withColumn("level", F.lit(None).cast("int"))
-        for i in range(LAYERS):
-            held = links.join(layers.where("level IS NULL").select(F.col("v").alias("parent")), "parent", "left_semi").select(F.col("child").alias("v")).distinct()
-            layers = layers.join(held.withColumn("held", F.lit(True)), "v", "left").select("v", F.when(F.col("level").isNull() & F.col("held").isNull(), level + i).otherwise(F.col("level")).alias("level"))
-        new = Cut(layers, "level", "level IS NULL")
-        done.append(new.df.where("level IS NOT NULL"))
-        level += LAYERS
-        if new.counted == rest.counted:
-            done.append(new.df.withColumn("level", F.lit(-1)))
+    parents = links.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("p")).withColumnRenamed("child", "v")
+    every = nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct().join(parents, "v", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # each node's anchor r: itself, or the nearest ancestor that has no parent or several; d links away
+    start = every.select("v", "n", F.when(F.col("n") == 1, F.col("p")).otherwise(F.col("v")).alias("r"), F.when(F.col("n") == 1, 1).otherwise(0).alias("d"))
+    anchors = start.select(F.col("v").alias("r"), (F.col("n") == 1).alias("live"))
+    state = Cut(start.join(anchors, "r").select("v", "n", "r", "d", (F.col("live") & (F.col("n") == 1)).alias("live")), "anchors", "live")
+    while state.counted:
+        ahead = state.df.select(F.col("v").alias("r"), F.col("r").alias("rr"), F.col("d").alias("dd"), F.col("live").alias("ll"))
+        moved = state.df.where("live").join(ahead, "r").select("v", "n", F.col("rr").alias("r"), (F.col("d") + F.col("dd")).alias("d"), F.col("ll").alias("live"))
+        new = Cut(state.df.where("NOT live").unionByName(moved), "anchors", "live")
+        same = new.counted == state.counted
+        state.drop()
+        state = new
+        if same:  # no chain ended, so what is left runs in rings
+            break
+    # nodes with several parents wait for the anchors of all of them
+    at = state.df.select(F.col("v").alias("parent"), F.when(~F.col("live"), F.col("r")).alias("r"), F.col("d").alias("d"))
+    waiting = Cut(links.join(every.where("n > 1").select(F.col("v").alias("child")), "child").join(at, "parent").select(F.col("child").alias("m"), "r", (F.col("d") + 1).alias("w")), "waiting", "true")
+    known = [cut(state.df.where("n = 0").select(F.col("v").alias("r"), F.lit(0).alias("level")), "known")]
+    while waiting.counted:
+        so_far = known[0]
+        for k in known[1:]:
+            so_far = so_far.unionByName(k)
+        reached = waiting.df.join(so_far, "r", "left").groupBy("m").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max(F.col("level") + F.col("w")).alias("level"))
+        new = Cut(reached.where("n = k").select(F.col("m").alias("r"), "level"), "known", "true")
+        if not new.counted:
             break
-        rest = Cut(new.df.where("level IS NULL").select("v"), "rest", "true")
-    if not done:
-        return rest.df.select(F.col("v").alias(node), F.lit(0).alias("level"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(F.col("v").alias(node), "level")
+        known.append(new.df)
+        left = Cut(waiting.df.join(new.df.select(F.col("r").alias("m")), "m", "left_anti"), "waiting", "true")
+        waiting.drop()
+        waiting = left
+    so_far = known[0]
+    for k in known[1:]:
+        so_far = so_far.unionByName(k)
+    out = state.df.withColumn("r", F.when(~F.col("live"), F.col("r"))).join(so_far, "r", "left")
+    return out.select(F.col("v").alias(node), F.coalesce(F.col("level") + F.col("d"), F.lit(-1)).alias("level"))
 
 
 def trim(links: DataFrame, both_ends: bool = False) -> DataFrame:

@@ -83,7 +83,7 @@ class Other:
 
 
 def parse_expression(text: str) -> object:
-    tokens = [m.groups() for m in TOKEN.finditer(text) if any(m.groups())]
+    tokens = [m.groups() for m in TOKEN.finditer(text.strip()) if any(m.groups())]
     pos = 0
 
     def peek() -> str | None:

@@ -50,17 +50,23 @@ class Forest:
 
     def _peel(self) -> None:
         """ring: (v, ring) of nodes on rings, ring being the nid of the ring's smallest id; below_ring: (v, ring) of nodes that hang below one."""
-        jump = Cut(self.parents, "jump")
-        left = self.parents.select("p").distinct().count()
-        while left:
-            nxt = jump.df.select(F.col("v").alias("p"), F.col("p").alias("to"))
-            new = Cut(jump.df.join(nxt, "p").select("v", F.col("to").alias("p")), "jump")
+        jump = Cut(self.parents, "jump", "true")
+        # depths leave no gaps: once a round ends no chain, only what rings hold is left
+        while jump.counted:
+            new = self._doubled(jump)
+            same = new.counted == jump.counted
             jump.drop()
             jump = new
-            now = jump.df.select("p").distinct().count()
-            if now == left:  # nothing was peeled: heights leave no gaps, so what is left is on rings
+            if same:
+                break
+        # nor do heights above a node: once a round peels nothing, the nodes that are still reached are on rings
+        left = jump.df.select("p").distinct().count() if jump.counted else 0
+        while left:
+            new = self._doubled(jump)
+            jump.drop()
+            jump, before, left = new, left, new.df.select("p").distinct().count()
+            if left == before:
                 break
-            left = now
         on_ring = cut(jump.df.select(F.col("p").alias("v")).distinct(), "ring")
         ends = jump.df  # each node that reaches a ring, and a node on it
         # the smallest id of each ring, by doubling around it
@@ -78,6 +84,12 @@ class Forest:
         #: links of the trees: rings are cut open, their nodes are roots
         self.tree = cut(self.parents.join(on_ring, "v", "left_anti"), "tree")
 
+    @staticmethod
+    def _doubled(jump: Cut) -> Cut:
+        """Pointers twice as far; those that lead beyond a root are gone."""
+        ahead = jump.df.select(F.col("v").alias("p"), F.col("p").alias("to"))
+        return Cut(jump.df.join(ahead, "p").select("v", F.col("to").alias("p")), "jump", "true")
+
     def _tour(self) -> None:
         """tour: (v, root, entry, exit, depth) of every node. entry and exit count the arcs of the root's tour; depth counts from the root of the cut-open tree."""
         part = F.pmod(F.xxhash64("v"), F.lit(SIBLING_PARTS))

@@ -161,7 +161,28 @@ def d12_terminal_artifacts(spark, sf):
 # E: command catalog
 
 
-@query()
+def _script_lines_sql() -> str:
+    docs = "SELECT doc_id, text, CASE WHEN contains(text, '<-') OR contains(text, 'library(') THEN 'r' WHEN contains(text, 'import ') OR contains(text, 'pd.') OR contains(text, 'df.') THEN 'python' ELSE 'stata' END AS language FROM documents WHERE source = 'script' AND text IS NOT NULL"
+    lines = "SELECT doc_id, language, unnest(x) AS text, generate_subscripts(x, 1)::INTEGER AS line FROM (SELECT doc_id, language, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM d)"
+    return f"d AS ({docs}), l AS MATERIALIZED ({lines})"
+
+
+def _line_events_sql() -> str:
+    """The catalog as one chain of conditions for each language and kind."""
+    out = []
+    for kind in ("read", "write", "erase", "call"):
+        for lang in ("stata", "python", "r"):
+            rows = [c for c in catalog.CATALOG if (c.language, c.kind) == (lang, kind)]
+            if not rows:
+                continue
+            q = lambda x: x.replace("'", "''")
+            which = " ".join(f"WHEN regexp_matches(text, '{q(c.regex)}') THEN '{c.command}'" for c in rows)
+            path = " ".join(f"WHEN regexp_matches(text, '{q(c.regex)}') THEN coalesce(nullif(regexp_extract(text, '{q(c.regex)}', 1), ''), regexp_extract(text, '{q(c.regex)}', 2))" for c in rows)
+            out.append(f"SELECT doc_id, language, line, '{kind}' AS kind, CASE {which} END AS command, CASE {path} END AS raw_path FROM l WHERE language = '{lang}'")
+    return f"WITH {_script_lines_sql()} SELECT * FROM ({' UNION ALL '.join(out)}) WHERE command IS NOT NULL"
+
+
+@query(_line_events_sql())
 def e01_line_events(spark, sf):
     d = lang_docs(spark, sf)
     return catalog.line_events(catalog.split_lines(d, ["doc_id", "language"]), F.col("language")).select("doc_id", "language", "line", "kind", "command", "raw_path")
@@ -174,7 +195,7 @@ def o01_lines(spark, sf):
     return catalog.split_lines(table(spark, sf, "documents").where("source = 'script'"), ["doc_id"])
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, '{}', '{}')".format(c.language, c.kind, i, c.command, c.regex.replace("'", "''")) for i, c in enumerate(catalog.CATALOG)) + ") t(language, kind, priority, command, regex)")
 def e00_catalog(spark, sf):
     return catalog.catalog_table(spark)
 
@@ -450,6 +471,24 @@ def j07_cluster_problems(spark, sf):
     return overrides.cluster_problems(table(spark, sf, "clusters"), BY)
 
 
+# K: edges by hand
+
+#: Configured edges of the query: one that exists, missing ends with and without placeholders, a blank, a spelling.
+_MANUAL = [cfg.ManualEdge("", "x"), cfg.ManualEdge("new/a.py", "new/b.csv"), cfg.ManualEdge(".\\new\\a.py", "./new/b.csv", on_missing="placeholder"), cfg.ManualEdge("new/a.py", "new/b.csv"), cfg.ManualEdge("new/b.csv", "new/a.py", "back")]
+
+
+@query("SELECT * FROM (VALUES ('new/a.py', 'new/b.csv', 'script_to_artifact', NULL), ('new/b.csv', 'new/a.py', 'artifact_to_script', 'back')) t(source, target, kind, visible_label)")
+def k01_manual_edges(spark, sf):
+    new, _, _ = overrides.apply_manual_edges(_MANUAL, nodes(spark, sf), edges(spark, sf))
+    return spark.createDataFrame([(e["source"], e["target"], e["kind"], e["visible_label"]) for e in new], "source string, target string, kind string, visible_label string")
+
+
+@query(f"SELECT DISTINCT e.project_id, e.source, e.target, CASE WHEN {_SCRIPT.format('e.source')} THEN 'script' ELSE 'artifact' END || '_to_' || CASE WHEN {_SCRIPT.format('e.target')} THEN 'script' ELSE 'artifact' END AS kind FROM edges e")
+def k05_edge_kinds(spark, sf):
+    kind = overrides.edge_kind(validate.ends_in_script(F.col("source")), validate.ends_in_script(F.col("target")))
+    return edges(spark, sf).select("project_id", "source", "target", kind.alias("kind")).distinct()
+
+
 # M: validation
 
 
@@ -576,7 +615,35 @@ def n08_drawn_edges(spark, sf):
 # O: sections
 
 
-@query()
+def _sections_sql() -> str:
+    """RE2 has no lookahead: of a header after hashes, one blank and a bracketed number is refused by a second pattern."""
+
+    def title(rx: str) -> str:
+        refused = ""
+        if r"(?!\[\d)" in rx:
+            rx, refused = rx.replace(r"(?!\[\d)", ""), r" AND NOT regexp_matches(text, '^\s*#{2,}\s\[\d')"
+        clean = rf"regexp_replace(regexp_extract(text, '{rx}', 1), '^[*\-=_~#\s]+|[*\-=_~#\s]+$', '', 'g')"
+        return rf"CASE WHEN regexp_matches(text, '{rx}'){refused} AND NOT regexp_matches({clean}, '^[^\p{{L}}\p{{N}}]*$') THEN {clean} END"
+
+    by = []
+    for lang, forms in sections.HEADERS.items():
+        t = f"coalesce({', '.join(map(title, forms))})"
+        if lang == "python":
+            cell = f"regexp_extract(text, '{sections.CELL}', 1)"
+            t = f"CASE WHEN regexp_matches(text, '{sections.CELL}') THEN CASE WHEN {cell} = '' THEN '(untitled cell)' ELSE {cell} END WHEN regexp_matches(text, '{sections.NOTEBOOK}') THEN 'In[' || regexp_extract(text, '{sections.NOTEBOOK}', 1) || ']:' ELSE {t} END"
+        by.append(f"WHEN language = '{lang}' AND NOT regexp_matches(text, '{sections.DECORATION[lang]}') THEN {t}")
+    header = " ".join(f"WHEN language = '{k}' THEN regexp_matches(text, '{v}')" for k, v in sections.HEADER_COMMENT.items())
+    speaks = " OR ".join(f"contains(said, '{w}')" for w in sections.TOC_WORDS)
+    return f"""WITH {_script_lines_sql()}, f AS (SELECT doc_id, line, CASE {" ".join(by)} END AS title FROM l),
+top AS (SELECT *, CASE {header} END AS h FROM l WHERE line <= {sections.TOC_WITHIN}),
+isl AS (SELECT *, count(*) FILTER (WHERE NOT h) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM top WHERE h OR trim(text) <> ''),
+runs AS (SELECT doc_id, run, count(*) AS n, max(line) AS last, lower(string_agg(trim(text), ' ' ORDER BY line)) AS said FROM isl WHERE h GROUP BY ALL),
+toc AS (SELECT doc_id, min(last) AS toc_end FROM runs WHERE n >= {sections.TOC_LEAST} AND ({speaks}) GROUP BY ALL),
+kept AS (SELECT f.*, len(string_split(nullif(regexp_extract(title, '^([A-Za-z\\d]+(?:\\.[A-Za-z\\d]+)*)\\s*\\.?\\s', 1), ''), '.')) AS lv FROM f LEFT JOIN toc USING (doc_id) WHERE title IS NOT NULL AND (toc_end IS NULL OR line > toc_end))
+SELECT doc_id, line, CASE WHEN lv > 3 THEN 3 ELSE coalesce(lv, 1) END::INTEGER AS level, title FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, trim(title) ORDER BY line DESC) = 1"""
+
+
+@query(_sections_sql())
 def o03_sections(spark, sf):
     return sections.sections(lang_docs(spark, sf), ["doc_id"], F.col("language"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import paths
 from strandline.operators import graph
+from strandline.operators.spread import numbered
 
 
 def script_dependencies(edges: DataFrame, scripts: DataFrame, by: list[str]) -> DataFrame:
@@ -14,6 +15,13 @@ def script_dependencies(edges: DataFrame, scripts: DataFrame, by: list[str]) ->
 
     The join is on the artifact; an artifact with many writers and many readers makes that many pairs, which are its dependencies.
     """
+    direct, writes, reads = _accesses(edges, scripts, by)
+    through = writes.join(reads, [*by, "artifact"]).select(*by, "source", "target")
+    return direct.unionByName(through).where("source <> target").distinct()
+
+
+def _accesses(edges: DataFrame, scripts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges between scripts (source, target), writes (source, artifact) and reads (artifact, target)."""
     s = scripts.select(*by, "node_id").distinct()
     e = edges.select(*by, "source", "target").distinct()
     e = e.join(s.withColumnRenamed("node_id", "source").withColumn("_s", F.lit(True)), [*by, "source"], "left")
@@ -21,13 +29,19 @@ def script_dependencies(edges: DataFrame, scripts: DataFrame, by: list[str]) ->
     direct = e.where("_s AND _t").select(*by, "source", "target")
     writes = e.where("_s AND _t IS NULL").select(*by, "source", F.col("target").alias("artifact"))
     reads = e.where("_s IS NULL AND _t").select(*by, F.col("source").alias("artifact"), "target")
-    through = writes.join(reads, [*by, "artifact"]).select(*by, "source", "target")
-    return direct.unionByName(through).where("source <> target").distinct()
+    return direct, writes, reads
 
 
-def folder_links(deps: DataFrame, by: list[str]) -> DataFrame:
-    """(by, a, b): links between the folders of scripts that depend on each other."""
-    return deps.select(*by, paths.parent_dir(F.col("source")).alias("a"), paths.parent_dir(F.col("target")).alias("b")).where("a <> b").distinct()
+def folder_links(edges: DataFrame, scripts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b): links between the folders of scripts that depend on each other.
+
+    The same as the folders of script_dependencies, but scripts are replaced by their folders before the join, so an artifact with very many
+    writers and readers is joined as few folders.
+    """
+    direct, writes, reads = _accesses(edges, scripts, by)
+    a, b = paths.parent_dir(F.col("source")).alias("a"), paths.parent_dir(F.col("target")).alias("b")
+    through = writes.select(*by, a, "artifact").distinct().join(reads.select(*by, "artifact", b).distinct(), [*by, "artifact"]).select(*by, "a", "b")
+    return direct.select(*by, a, b).unionByName(through).where("a <> b").distinct()
 
 
 def mergeable(links: DataFrame, by: list[str]) -> DataFrame:
@@ -40,14 +54,16 @@ def mergeable(links: DataFrame, by: list[str]) -> DataFrame:
 def clusters(edges: DataFrame, scripts: DataFrame, by: list[str]) -> DataFrame:
     """(by, node_id, cluster_id, label, cluster_order) of every script. Clusters are numbered within a project by their least folder."""
     folders = scripts.select(*by, "node_id", paths.parent_dir(F.col("node_id")).alias("folder")).distinct()
-    links = mergeable(folder_links(script_dependencies(edges, scripts, by), by), by)
+    links = mergeable(folder_links(edges, scripts, by), by)
     key = lambda c: F.to_json(F.struct(*by, F.col(c).alias("folder")))
     own = folders.select(*by, "folder").distinct().withColumn("node", key("folder"))
     comp = graph.components(own, links.select(key("a").alias("a"), key("b").alias("b")))
     in_comp = own.join(comp, "node")
-    per = in_comp.groupBy(*by, "component").agg(F.min("folder").alias("first"), F.sort_array(F.collect_list("folder")).alias("folders"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("first")) if by else F.row_number().over(Window.orderBy("first"))
-    per = per.withColumn("i", number).select("component", F.format_string("cluster_%03d", "i").alias("cluster_id"), paths.cluster_label(F.col("folders")).alias("label"), (F.col("i") + 1000).alias("cluster_order"))
+    # what all folders share is what the first and the last of them share
+    ends = paths.parts(F.col("folder"))
+    per = in_comp.groupBy(*by, "component").agg(F.min("folder").alias("first"), F.min(ends).alias("_lo"), F.max(ends).alias("_hi"))
+    named = F.when(F.col("_lo") == F.col("_hi"), F.array("first")).otherwise(F.array(F.array_join("_lo", "/"), F.array_join("_hi", "/")))
+    per = numbered(per, by, [F.col("first")], "i").select("component", F.format_string("cluster_%03d", "i").alias("cluster_id"), paths.cluster_label(named).alias("label"), (F.col("i") + 1000).cast("int").alias("cluster_order"))
     return folders.join(in_comp.select(*by, "folder", "component"), [*by, "folder"]).join(per, "component").select(*by, "node_id", "cluster_id", "label", "cluster_order")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import ARTIFACT_ROLES, TERMINAL_SUFFIXES
 from strandline.functions import paths
 from strandline.operators.assemble import diagnostic
+from strandline.operators.spread import listed
 
 SCRIPT = r"\.(do|py|r|R)$"
 
@@ -29,14 +30,11 @@ def consumed(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def multiple_writers(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by, path, n_writes, scripts): targets with more than one writing edge; scripts are distinct, sorted, joined.
-
-    Edges of one script are counted before the shuffle to the target, and only targets that qualify have their scripts listed.
-    """
-    e = edges.where(ends_in_script(F.col("source")) & ~ends_in_script(F.col("target")))
-    per = e.groupBy(*by, F.col("target").alias("path"), "source").agg(F.count("*").alias("_n"))
-    out = per.groupBy(*by, "path").agg(F.sum("_n").alias("n_writes"), F.collect_list("source").alias("_s")).where("n_writes > 1")
-    return out.select(*by, "path", "n_writes", F.array_join(F.sort_array("_s"), " | ").alias("scripts"))
+    """(by, path, n_writes, part, scripts): targets with more than one writing edge; scripts are distinct, sorted, joined, in several parts where there are very many."""
+    e = edges.where(ends_in_script(F.col("source")) & ~ends_in_script(F.col("target"))).select(*by, F.col("target").alias("path"), "source")
+    several = e.groupBy(*by, "path").agg(F.count("*").alias("n_writes")).where("n_writes > 1")
+    names = listed(e.join(several, [*by, "path"], "left_semi"), [*by, "path"], "source", at_least=1)
+    return several.join(names, [*by, "path"]).select(*by, "path", "n_writes", "part", F.col("members").alias("scripts"))
 
 
 def unconsumed_output(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -71,10 +69,9 @@ def unknown_roles(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ambiguous_names(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, node_type, name, n_paths, paths): names that several nodes of a type have."""
-    n = nodes.select(*by, "node_type", "node_id").distinct().withColumn("name", paths.basename(F.col("node_id")))
-    out = n.groupBy(*by, "node_type", "name").agg(F.count("*").alias("n_paths"), F.array_join(F.sort_array(F.collect_list("node_id")), " | ").alias("paths"))
-    return out.where("n_paths > 1")
+    """(by, node_type, name, n_paths, part, paths): names that several nodes of a type have; very many paths come in several parts."""
+    n = nodes.select(*by, "node_type", "node_id", paths.basename(F.col("node_id")).alias("name"))
+    return listed(n, [*by, "node_type", "name"], "node_id").withColumnsRenamed({"n": "n_paths", "members": "paths"})
 
 
 def missing_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
@@ -92,9 +89,12 @@ def bundle_absolute(diags: DataFrame, by: list[str], order: str = "diag_id") ->
     # a path counts once, where it first came; only then are five taken
     each = d.select(*by, "script", order, F.posexplode("p").alias("i", "_path")).withColumn("path", F.trim("_path")).where("path <> ''")
     once = each.groupBy(*by, "script", "path").agg(F.min(F.struct(order, "i")).alias("at"))
-    listed = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "path"))), 1, 5), lambda x: x["path"])
-    sample = once.groupBy(*by, "script").agg(F.count("*").alias("unique_paths"), F.array_join(listed, " | ").alias("sample_paths"))
-    return per.join(sample, [*by, "script"], "left").select(*by, "script", "first", "n", F.coalesce("unique_paths", F.lit(0)).alias("unique_paths"), F.coalesce("sample_paths", F.lit("")).alias("sample_paths"))
+    unique = once.groupBy(*by, "script").agg(F.count("*").alias("unique_paths"))
+    # the rank limit keeps five of a script before the shuffle as well
+    five = once.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "script").orderBy("at"))).where("_r <= 5")
+    told = F.transform(F.sort_array(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"])
+    sample = five.groupBy(*by, "script").agg(F.array_join(told, " | ").alias("sample_paths"))
+    return per.join(unique, [*by, "script"], "left").join(sample, [*by, "script"], "left").select(*by, "script", "first", "n", F.coalesce("unique_paths", F.lit(0)).alias("unique_paths"), F.coalesce("sample_paths", F.lit("")).alias("sample_paths"))
 
 
 def dedupe(diags: DataFrame, by: list[str], order: str = "diag_id") -> DataFrame:

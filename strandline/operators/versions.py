@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import VersionFamilies
 from strandline.functions import paths
+from strandline.operators.spread import listed
 
 
 def members(nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -16,9 +17,8 @@ def members(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def families(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, family, members, n_members) of families with more than one member."""
-    out = members(nodes, by).groupBy(*by, "family").agg(F.array_join(F.sort_array(F.collect_list("member")), " | ").alias("members"), F.count("*").alias("n_members"))
-    return out.where("n_members > 1")
+    """(by, family, members, n_members, part) of families with more than one member; very many members come in several parts."""
+    return listed(members(nodes, by), [*by, "family"], "member").withColumnRenamed("n", "n_members")
 
 
 def newest_ties(mem: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:

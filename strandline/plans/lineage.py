@@ -325,7 +325,7 @@ def _files(spark, sf):
     return s.groupBy("project_id", F.col("id").alias("path")).agg(F.max("mtime").alias("mtime"))
 
 
-@query(f"WITH {_MEMBERS} SELECT project_id, family, string_agg(member, ' | ' ORDER BY member) AS members, count(*) AS n_members FROM m GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_MEMBERS} SELECT project_id, family, string_agg(member, ' | ' ORDER BY member) AS members, count(*) AS n_members, 0::INTEGER AS part FROM m GROUP BY ALL HAVING count(*) > 1")
 def h01_families(spark, sf):
     return versions.families(nodes(spark, sf), BY)
 
@@ -392,14 +392,14 @@ def i02_script_dependencies(spark, sf):
 
 @query(f"WITH {_DEPS} SELECT project_id, folder, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT project_id, a AS folder, 1 AS o, 0 AS i FROM fl UNION ALL SELECT project_id, b, 0, 1 FROM fl) GROUP BY ALL")
 def i03_folder_degrees(spark, sf):
-    links = clustering.folder_links(clustering.script_dependencies(edges(spark, sf), scripts(spark, sf), BY), BY)
+    links = clustering.folder_links(edges(spark, sf), scripts(spark, sf), BY)
     d = validate.degrees(links.withColumnsRenamed({"a": "source", "b": "target"}), BY)
     return d.select("project_id", F.col("node_id").alias("folder"), "n_out", "n_in")
 
 
 @query(f"WITH {_DEPS}, {_MERGE} SELECT * FROM mg")
 def i04_mergeable_folders(spark, sf):
-    return clustering.mergeable(clustering.folder_links(clustering.script_dependencies(edges(spark, sf), scripts(spark, sf), BY), BY), BY)
+    return clustering.mergeable(clustering.folder_links(edges(spark, sf), scripts(spark, sf), BY), BY)
 
 
 @query(
@@ -496,7 +496,7 @@ def _writers(spark, sf):
     return validate.multiple_writers(edges(spark, sf), BY)
 
 
-@query(f"SELECT project_id, target AS path, count(*) AS n_writes, string_agg(DISTINCT source, ' | ' ORDER BY source) AS scripts FROM edges WHERE {_SCRIPT.format('source')} AND NOT {_SCRIPT.format('target')} GROUP BY ALL HAVING count(*) > 1")
+@query(f"SELECT project_id, target AS path, count(*) AS n_writes, 0::INTEGER AS part, string_agg(DISTINCT source, ' | ' ORDER BY source) AS scripts FROM edges WHERE {_SCRIPT.format('source')} AND NOT {_SCRIPT.format('target')} GROUP BY ALL HAVING count(*) > 1")
 def m02_multiple_writers(spark, sf):
     return _writers(spark, sf)
 
@@ -526,7 +526,7 @@ def m06_unknown_roles(spark, sf):
     return validate.unknown_roles(table(spark, sf, "nodes"), BY)
 
 
-@query(f"SELECT project_id, node_type, {_BASE.format('node_id')} AS name, count(*) AS n_paths, string_agg(node_id, ' | ' ORDER BY node_id) AS paths FROM (SELECT DISTINCT project_id, node_type, node_id FROM nodes WHERE node_id IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
+@query(f"SELECT project_id, node_type, {_BASE.format('node_id')} AS name, count(*) AS n_paths, 0::INTEGER AS part, string_agg(node_id, ' | ' ORDER BY node_id) AS paths FROM (SELECT DISTINCT project_id, node_type, node_id FROM nodes WHERE node_id IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
 def m07_ambiguous_names(spark, sf):
     return validate.ambiguous_names(table(spark, sf, "nodes").where("node_id IS NOT NULL"), BY)
 

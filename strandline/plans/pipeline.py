@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import Config
 from strandline.materialize import cut
-from strandline.operators import assemble, clustering, exclusions, graph, overrides, sections, validate, versions
+from strandline.operators import assemble, clustering, exclusions, graph, overrides, sections, spread, validate, versions
 from strandline.resolve import run
 from strandline.sinks import text
 from strandline.sources import edge_csv, tree
@@ -81,9 +81,10 @@ def _from_scripts(spark: SparkSession, root: str, files: DataFrame, config: Conf
     acc = cut(assemble.classified(ev, [], c, config.parser.suppress_internal_only_writes, d.show_temporary_outputs), "accesses")
     calls = assemble.call_edges(children, [])
     edges = calls.unionByName(assemble.data_edges(acc, [], d.show_temporary_outputs))
-    # one project's edges are numbered in order; the relation itself needs no order
-    order = Window.orderBy("phase", F.when(F.col("phase") == 2, F.col("target")).otherwise(F.col("source")), F.when(F.col("phase") == 2, F.col("source")).otherwise(F.col("target")), "operation", "status", "pattern")
-    edges = cut(edges.withColumn("edge_ord", F.row_number().over(order).cast("bigint")).drop("phase", "status", "pattern"), "edges")
+    order = ["phase", F.when(F.col("phase") == 2, F.col("target")).otherwise(F.col("source")), F.when(F.col("phase") == 2, F.col("source")).otherwise(F.col("target")), "operation", "status", "pattern"]
+    edges = edges.select("*", *(F.col(c).alias(f"_o{i}") if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)))
+    edges = spread.numbered(edges, [], [F.col(f"_o{i}") for i in range(len(order))], "edge_ord").withColumn("edge_ord", F.col("edge_ord").cast("bigint"))
+    edges = cut(edges.drop("phase", "status", "pattern", *(f"_o{i}" for i in range(len(order)))), "edges")
     known = contents.select("script").union(children.select("child")).distinct()
     script_nodes = assemble.script_nodes(known, [])
     arts = assemble.artifact_nodes(acc, [], d.show_temporary_outputs).join(known.withColumnRenamed("script", "node_id"), "node_id", "left_anti")

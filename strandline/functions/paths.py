@@ -206,9 +206,13 @@ def is_external(text: Column) -> Column:
     return text.rlike("^(https?|ftp|s3|gs)://")
 
 
+QUOTED = r"""(?:"([^"]*)"|'([^']*)')"""
+
+
 def first_quoted(text: Column) -> Column:
-    """The first quoted literal; NULL without one."""
-    return F.nullif(F.regexp_extract(text, r"""(?:r|f|b|u)?(?:"([^"]*)"|'([^']*)')""", 0), F.lit(""))
+    """The inside of the first quoted literal; NULL without one."""
+    inside = F.concat(F.regexp_extract(text, QUOTED, 1), F.regexp_extract(text, QUOTED, 2))
+    return F.when(text.rlike(QUOTED), inside)
 
 
 def label(node_id: Column, style: str = "basename", depth: int = 0, show_extension: bool = True) -> Column:

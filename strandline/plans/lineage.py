@@ -137,6 +137,34 @@ def c23_escaped(spark, sf):
     return d.select("message", paths.xml_escape(F.col("message")).alias("escaped"), paths.yaml_quote(F.col("message")).alias("quoted"))
 
 
+@query(
+    r"""WITH e AS (SELECT event_id, list_filter(string_split(regexp_replace(replace(raw_path, '\', '/'), '/+', '/', 'g'), '/'), lambda x: x NOT IN ('', '.')) AS p FROM parsed_events WHERE regexp_matches(raw_path, '^(/|\\\\|[A-Za-z]:[\\/])')),
+s AS (SELECT event_id, i, array_to_string(p[i:], '/') AS path FROM (SELECT event_id, p, unnest(range(1, len(p) + 1)) AS i FROM e))
+SELECT event_id, arg_min(path, i) AS existing FROM s WHERE path IN (SELECT id FROM snapshot_left) GROUP BY event_id"""
+)
+def c07_existing_suffix(spark, sf):
+    """Of absolute paths: the longest suffix that is a file of the snapshot."""
+    e = events(spark, sf).where(paths.is_absolute(F.col("raw_path")))
+    clean = F.regexp_replace(F.replace("raw_path", F.lit("\\"), F.lit("/")), "/+", "/")
+    s = e.select("event_id", F.posexplode(paths.suffixes(clean)).alias("i", "path"))
+    files = table(spark, sf, "snapshot_left").select(F.col("id").alias("path")).distinct()
+    return s.join(files, "path", "left_semi").groupBy("event_id").agg(F.min_by("path", "i").alias("existing"))
+
+
+@query(r"""SELECT doc_id, line, CASE WHEN regexp_matches(text, '(?:"([^"]*)"|''([^'']*)'')') THEN regexp_extract(text, '(?:"([^"]*)"|''([^'']*)'')', 1) || regexp_extract(text, '(?:"([^"]*)"|''([^'']*)'')', 2) END AS literal, regexp_matches(text, '(https?|ftp|s3|gs)://') AS external
+FROM (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1)::INTEGER AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM documents WHERE source = 'script' AND text IS NOT NULL)) WHERE regexp_matches(text, '(?:"([^"]*)"|''([^'']*)'')')""")
+def c21_quoted_literals(spark, sf):
+    """The first quoted literal of each script line that has one, and whether the line names a service."""
+    lines = catalog.split_lines(table(spark, sf, "documents").where("source = 'script'"), ["doc_id"])
+    return lines.select("doc_id", "line", paths.first_quoted(F.col("text")).alias("literal"), F.col("text").rlike("(https?|ftp|s3|gs)://").alias("external")).where("literal IS NOT NULL")
+
+
+@query(r"SELECT DISTINCT path, regexp_replace(replace(regexp_replace(path, '^\s+|\s+$', '', 'g'), '\', '/'), '^\./', '') AS cleaned FROM nodes WHERE path IS NOT NULL AND NOT regexp_matches(path, '[^\x00-\x7F]')")
+def c16_manual_paths(spark, sf):
+    n = table(spark, sf, "nodes").where(F.col("path").isNotNull() & ~F.col("path").rlike(r"[^\x00-\x7F]")).select("path").distinct()
+    return n.select("path", paths.manual_path(F.col("path")).alias("cleaned"))
+
+
 # D: exclusions
 
 _RULES = cfg.Exclusions(prefixes=["prj_hub/tmp/"], globs=["*.pkl", "shared/*/*.rds"], folder_names=["annex"], exact_names=["housing_v1.csv"], presets=["archival_folders"])
@@ -153,6 +181,12 @@ def d03_excluded(spark, sf):
     return n.select("node_row_id", exclusions.excluded(F.col("path"), _RULES).alias("excluded"))
 
 
+@query("SELECT DISTINCT path, (" + " OR ".join(f"contains(lower(path), '{p}')" for p in cfg.TEMPORARY_PATTERNS) + ") AS temporary FROM nodes WHERE path IS NOT NULL")
+def d09_temporary(spark, sf):
+    n = table(spark, sf, "nodes").where("path IS NOT NULL").select("path").distinct()
+    return n.select("path", assemble.is_temporary(F.col("path"), cfg.TEMPORARY_PATTERNS).alias("temporary"))
+
+
 @query(f"WITH {_NODES} SELECT project_id, node_id FROM n WHERE node_type IN ('artifact', 'artifact_placeholder') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.project_id = n.project_id AND e.source = n.node_id)")
 def d12_terminal_artifacts(spark, sf):
     return render.terminal_artifacts(nodes(spark, sf), edges(spark, sf), BY)

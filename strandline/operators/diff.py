@@ -11,13 +11,13 @@ _LEFT, _RIGHT = 1, 2
 
 
 def residues(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
-    """The rows of cols with ``side``: 1 only in left, 2 only in right, 3 in both.
+    """The rows of cols with ``_side``: 1 only in left, 2 only in right, 3 in both.
 
     Repeated rows count once, so EXCEPT ALL of the distinct rows in both directions is one grouping of the union by all columns, in which
     NULL equals only NULL. Partial aggregation removes the repeats before the shuffle.
     """
-    both = left.select(*cols, F.lit(_LEFT).alias("side")).unionByName(right.select(*cols, F.lit(_RIGHT).alias("side")))
-    return both.groupBy(*cols).agg(F.bit_or("side").alias("side"))
+    both = left.select(*cols, F.lit(_LEFT).alias("_side")).unionByName(right.select(*cols, F.lit(_RIGHT).alias("_side")))
+    return both.groupBy(*cols).agg(F.bit_or("_side").alias("_side"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -30,7 +30,7 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     sides = []
     for side, tag in ((_LEFT, "l"), (_RIGHT, "r")):
         # one row for each key before the join, so that no key makes pairs of rows
-        one = rows.where(F.col("side") == side).groupBy(*keys)
+        one = rows.where(F.col("_side") == side).groupBy(*keys)
         one = one.agg(F.count("*").alias(f"_n{tag}"), F.max(F.struct(*fields)).alias(f"_{tag}"))
         sides.append(one.select(*(F.col(k).alias(f"_{tag}_{k}") for k in keys), f"_n{tag}", f"_{tag}"))
     l, r = sides
@@ -38,7 +38,7 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
         *(F.when(F.col("_nl").isNotNull(), F.col(f"_l_{k}")).otherwise(F.col(f"_r_{k}")).alias(k) for k in keys), "_nl", "_nr", "_l", "_r"
     )
     # keys of which a row is in both copies besides the residues: the copies disagree within themselves
-    agree = rows.where("side = 3").select(*(F.col(k).alias(f"_a_{k}") for k in keys)).distinct().withColumn("_agree", F.lit(True))
+    agree = rows.where("_side = 3").select(*(F.col(k).alias(f"_a_{k}") for k in keys)).distinct().withColumn("_agree", F.lit(True))
     joined = joined.join(agree, _same_key(keys, "", "_a_"), "left").select(*keys, "_nl", "_nr", "_l", "_r", F.coalesce("_agree", F.lit(False)).alias("_agree"))
     in_left = F.col("_nl").isNotNull() | F.col("_agree")
     in_right = F.col("_nr").isNotNull() | F.col("_agree")
@@ -56,8 +56,8 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
 def _by_value(rows: DataFrame, conflicts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """For the keys of conflicts: the fields whose sets of values differ between the copies."""
     values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
-    of = rows.join(conflicts, _same_key(keys, "", "_c_"), "left_semi").select(*keys, "side", values.alias("_v"))
-    sides = of.groupBy(*keys, F.col("_v.field").alias("field"), F.col("_v.value").alias("_value")).agg(F.bit_or("side").alias("_in"))
+    of = rows.join(conflicts, _same_key(keys, "", "_c_"), "left_semi").select(*keys, "_side", values.alias("_v"))
+    sides = of.groupBy(*keys, F.col("_v.field").alias("field"), F.col("_v.value").alias("_value")).agg(F.bit_or("_side").alias("_in"))
     return sides.where("_in <> 3").select(*keys, F.lit("differs").alias("kind"), "field").distinct()
 
 

@@ -223,3 +223,31 @@ def test_differences(spark):
     assert diff.differences(a, a, ["project_id", "id"], ["a", "n"]).collect() == []
     assert diff.differences(a.limit(0), b.limit(0), ["project_id", "id"], ["a", "n"]).collect() == []
     assert {r.kind for r in diff.differences(a, b.limit(0), ["project_id", "id"], ["a", "n"]).collect()} == {"left_only"}
+
+
+def test_differences_of_a_field_called_side(spark):
+    a = spark.createDataFrame([(1, "l")], "id long, side string")
+    b = spark.createDataFrame([(1, "r")], "id long, side string")
+    assert [tuple(r) for r in diff.differences(a, b, ["id"], ["side"]).collect()] == [(1, "differs", "side")]
+
+
+# whole groups in parts
+
+
+def test_lists_come_in_parts_and_places_span_partitions(spark, monkeypatch):
+    from strandline.operators import spread
+
+    monkeypatch.setattr(spread, "LISTED", 10)
+    df = spark.range(101).select(F.when(F.col("id") < 95, F.lit("hot")).otherwise(F.lit(None)).alias("k"), F.format_string("m%03d", "id").alias("m"))
+    got = spread.listed(df, ["k"], "m").collect()
+    for k, n in (("hot", 95), (None, 6)):
+        rows = [r for r in got if r.k == k]
+        assert {r.n for r in rows} == {n}
+        assert len({m for r in rows for m in r.members.split(" | ")}) == n
+        assert len(rows) == len({r.part for r in rows}) <= -(-n // 10)
+    rnd = random.Random(8)
+    rows = [(rnd.choice("aab"), rnd.random()) for _ in range(500)]
+    out = spread.numbered(spark.createDataFrame(rows, "g string, x double").repartition(7), ["g"], [F.col("x")], "i").collect()
+    for g in "ab":
+        assert [r.i for r in sorted((r for r in out if r.g == g), key=lambda r: r.x)] == list(range(1, sum(x[0] == g for x in rows) + 1))
+    assert spread.numbered(spark.createDataFrame([], "g string, x double"), [], [F.col("x")], "i").collect() == []

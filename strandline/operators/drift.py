@@ -131,19 +131,19 @@ class Drift:
         was = pairs.join(old, ["series", "prev"]).select("series", "file", "prev", "field", F.col("type").alias("b"), F.lit(None).cast("string").alias("a"))
         return now.unionByName(was).groupBy("series", "file", "prev", "field").agg(F.max("b").alias("before"), F.max("a").alias("after"))
 
-    def _aligned(self, moved: DataFrame) -> DataFrame:
+    def _aligned(self, moved: DataFrame, values: DataFrame) -> DataFrame:
         """(series, file, prev, rec, prev_rec): the records of both files that are about the same node, for the file pairs of moved.
 
         The field that names nodes is any field that has another text in each record of its file; of these, the pair of fields (one of each
         file) with most texts in common is taken, known names of ids first.
         """
         pairs = moved.select("series", "file", "prev").distinct()
-        n_recs = self.values.groupBy("series", "file").agg(F.count_distinct("rec").alias("n_recs"))
-        keyed = self.values.where("bit = 8").groupBy("series", "file", "field").agg(
+        n_recs = values.groupBy("series", "file").agg(F.count_distinct("rec").alias("n_recs"))
+        keyed = values.where("bit = 8").groupBy("series", "file", "field").agg(
             F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"), F.count_distinct("rec").alias("n_own")
         )
         keyed = keyed.join(n_recs, ["series", "file"]).where("n = n_texts AND n = n_own AND 2 * n > n_recs").select("series", "file", "field")
-        names = self.values.where("bit = 8").join(keyed, ["series", "file", "field"]).select("series", "file", "field", "text", "rec")
+        names = values.where("bit = 8").join(keyed, ["series", "file", "field"]).select("series", "file", "field", "text", "rec")
         old = names.select("series", F.col("file").alias("prev"), F.col("field").alias("prev_field"), "text", F.col("rec").alias("prev_rec"))
         both = pairs.join(names, ["series", "file"]).join(old, ["series", "prev", "text"])
         known = F.col("field").isin(self.id_names) & F.col("prev_field").isin(self.id_names)
@@ -162,14 +162,18 @@ class Drift:
         gone = compared.where("after IS NULL").select("series", "file", "prev", F.col("field").alias("old"))
         new = compared.where("before IS NULL").select("series", "file", "prev", F.col("field").alias("new"))
         moved = gone.select("series", "file", "prev").intersect(new.select("series", "file", "prev"))
-        aligned = cut(self._aligned(moved), "aligned")
+        moved = cut(moved, "moved")
+        # only files beside which fields both came and went are looked into
+        involved = moved.select("series", "file").unionByName(moved.select("series", F.col("prev").alias("file"))).distinct()
+        values = cut(self.values.join(involved, ["series", "file"], "left_semi"), "moved-values")
+        aligned = cut(self._aligned(moved, values), "aligned")
         at = ["series", "file", "rec"]
         was = gone.join(aligned, ["series", "file", "prev"]).join(
-            self.values.select("series", F.col("file").alias("prev"), F.col("rec").alias("prev_rec"), F.col("field").alias("old"), F.col("text").alias("said")),
+            values.select("series", F.col("file").alias("prev"), F.col("rec").alias("prev_rec"), F.col("field").alias("old"), F.col("text").alias("said")),
             ["series", "prev", "prev_rec", "old"],
         ).select(*at, "old", "said")
         now = new.join(aligned, ["series", "file", "prev"]).join(
-            self.values.select("series", "file", "rec", F.col("field").alias("new"), F.col("text").alias("said")), ["series", "file", "rec", "new"]
+            values.select("series", "file", "rec", F.col("field").alias("new"), F.col("text").alias("said")), ["series", "file", "rec", "new"]
         ).select(*at, "new", "said")
         was, now = cut(was, "was"), cut(now, "now")
         # only pairs of fields that agree anywhere are counted further

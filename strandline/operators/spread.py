@@ -11,20 +11,20 @@ from strandline.materialize import cut
 LISTED = 1_000
 
 
-def listed(df: DataFrame, keys: list[str], member: str, at_least: int = 2) -> DataFrame:
-    """(keys, n, part, members): the different members of each group of at least so many, sorted and joined by ' | '.
+def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") -> DataFrame:
+    """(keys, n, n_rows, part, members): the different members of each group, sorted and joined by ' | '. n counts different members, n_rows all rows; ``where`` says which groups are listed.
 
     Groups are counted first, by partial aggregation. One of more than LISTED members comes in several parts (from 0), each of about that
     many; smaller ones have part 0 only. NULL keys make a group; NULL members don't count.
     """
-    each = df.where(F.col(member).isNotNull()).select(*keys, member).distinct()
-    sizes = each.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    each = df.where(F.col(member).isNotNull()).groupBy(*keys, member).agg(F.count("*").alias("_rows"))
+    sizes = each.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.count("*").alias("n"), F.sum("_rows").alias("n_rows")).where(where)
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    rows = each.join(sizes, on).select(*keys, "n", member, F.pmod(F.xxhash64(member), F.ceil(F.col("n") / LISTED)).cast("int").alias("part"))
-    out = rows.groupBy(*keys, "n", "part").agg(F.array_join(F.sort_array(F.collect_list(member)), " | ").alias("members"))
-    return out.select(*keys, "n", "part", "members")
+    rows = each.join(sizes, on).select(*keys, "n", "n_rows", member, F.pmod(F.xxhash64(member), F.ceil(F.col("n") / LISTED)).cast("int").alias("part"))
+    out = rows.groupBy(*keys, "n", "n_rows", "part").agg(F.array_join(F.sort_array(F.collect_list(member)), " | ").alias("members"))
+    return out.select(*keys, "n", "n_rows", "part", "members")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

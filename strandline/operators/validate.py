@@ -32,9 +32,7 @@ def consumed(edges: DataFrame, by: list[str]) -> DataFrame:
 def multiple_writers(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, path, n_writes, part, scripts): targets with more than one writing edge; scripts are distinct, sorted, joined, in several parts where there are very many."""
     e = edges.where(ends_in_script(F.col("source")) & ~ends_in_script(F.col("target"))).select(*by, F.col("target").alias("path"), "source")
-    several = e.groupBy(*by, "path").agg(F.count("*").alias("n_writes")).where("n_writes > 1")
-    names = listed(e.join(several, [*by, "path"], "left_semi"), [*by, "path"], "source", at_least=1)
-    return several.join(names, [*by, "path"]).select(*by, "path", "n_writes", "part", F.col("members").alias("scripts"))
+    return listed(e, [*by, "path"], "source", "n_rows > 1").select(*by, "path", F.col("n_rows").alias("n_writes"), "part", F.col("members").alias("scripts"))
 
 
 def unconsumed_output(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -71,7 +69,7 @@ def unknown_roles(nodes: DataFrame, by: list[str]) -> DataFrame:
 def ambiguous_names(nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, node_type, name, n_paths, part, paths): names that several nodes of a type have; very many paths come in several parts."""
     n = nodes.select(*by, "node_type", "node_id", paths.basename(F.col("node_id")).alias("name"))
-    return listed(n, [*by, "node_type", "name"], "node_id").withColumnsRenamed({"n": "n_paths", "members": "paths"})
+    return listed(n, [*by, "node_type", "name"], "node_id").drop("n_rows").withColumnsRenamed({"n": "n_paths", "members": "paths"})
 
 
 def missing_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ def members(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 def families(nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, family, members, n_members, part) of families with more than one member; very many members come in several parts."""
-    return listed(members(nodes, by), [*by, "family"], "member").withColumnRenamed("n", "n_members")
+    return listed(members(nodes, by), [*by, "family"], "member").drop("n_rows").withColumnRenamed("n", "n_members")
 
 
 def newest_ties(mem: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:

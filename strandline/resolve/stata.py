@@ -52,7 +52,7 @@ class Environment:
         texts = [self.expand(expression)]
         single = lambda m: env[m[1] or m[2]][0] if len(env.get(m[1] or m[2], ())) == 1 else f"{{{m[1] or m[2]}}}"
         first = DOLLAR.sub(single, texts[0])
-        if DOLLAR.search(texts[0]) and "{" in first and re.search(r"\{\w+\}", first) and first != texts[0] and any(len(env.get(a or b, ())) != 1 for a, b in DOLLAR.findall(texts[0])):
+        if any(len(env.get(a or b, ())) != 1 for a, b in DOLLAR.findall(texts[0])):
             return [first], "partial", first
         texts = [first]
         for _ in range(3):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from strandline.config import Normalization
 _BLANK_ENDS = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: an expression that names a long one several times would otherwise repeat it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -23,6 +29,10 @@ def parts(path: Column) -> Column:
 
 def fold_dots(path: Column) -> Column:
     """A path with . and .. folded, as POSIX normalisation does; empty gives '.'."""
+    return let(path, _folded)
+
+
+def _folded(path: Column) -> Column:
     absolute = F.startswith(path, F.lit("/"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -35,7 +45,7 @@ def fold_dots(path: Column) -> Column:
         )
 
     joined = F.array_join(F.aggregate(F.split(path, "/"), _no_strings(), step), "/")
-    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+    return F.when(absolute, F.concat(F.lit("/"), joined)).otherwise(F.coalesce(F.nullif(joined, F.lit("")), F.when(path.isNotNull(), ".")))
 
 
 def strip_quotes(text: Column) -> Column:
@@ -104,7 +114,11 @@ def markers_of(root: str, config: Normalization) -> list[str]:
 def to_project_relative(text: Column, root: str, config: Normalization | None = None, existing: Column | None = None) -> Column:
     """struct<value, was_absolute>. In order: aliases (longest first), the root as prefix, the root's name as prefix; of absolute paths then a marker, the suffix that exists (``existing``, from a join with the files), the way from the root; else the path itself."""
     config = config or Normalization()
-    raw, absolute = normalize_token(text), is_absolute(text)
+    value = let(normalize_token(text), lambda raw: _relative_value(raw, is_absolute(text), root, config, existing))
+    return F.struct((F.lower(value) if config.fold_case else value).alias("value"), is_absolute(text).alias("was_absolute"))
+
+
+def _relative_value(raw: Column, absolute: Column, root: str, config: Normalization, existing: Column | None) -> Column:
     dot = config.strip_leading_dot
 
     def below(prefix: str) -> tuple[Column, Column]:
@@ -126,8 +140,7 @@ def to_project_relative(text: Column, root: str, config: Normalization | None =
         cases.append(F.when(absolute, existing))
     if root.startswith("/"):
         cases.append(F.when(absolute & F.startswith(raw, F.lit("/")), relative_to(raw, F.lit(root))))
-    value = F.coalesce(*cases, F.regexp_replace(raw, r"^\./", "") if dot else raw)
-    return F.struct((F.lower(value) if config.fold_case else value).alias("value"), absolute.alias("was_absolute"))
+    return F.coalesce(*cases, F.regexp_replace(raw, r"^\./", "") if dot else raw)
 
 
 def script_relative(path: Column, script: Column) -> Column:

@@ -133,10 +133,24 @@ def c22_labels(spark, sf):
 
 @query("SELECT DISTINCT message, replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, '\"' || replace(replace(message, '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM diagnostics WHERE message IS NOT NULL AND regexp_full_match(message, '[\\x00-\\x7F]*')")
 def c23_escaped(spark, sf):
+    """Of messages in ASCII only; c23_escaped_all has the others too."""
     d = table(spark, sf, "diagnostics").where("message IS NOT NULL").where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select("message").distinct()
     return d.select("message", paths.xml_escape(F.col("message")).alias("escaped"), paths.yaml_quote(F.col("message")).alias("quoted"))
 
 
+_XML = "replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    f"""SELECT message, array_to_string(list_transform(string_split({_XML}, ''), lambda x: CASE WHEN unicode(x) > 127 THEN '&#' || unicode(x) || ';' ELSE x END), '') AS escaped,
+  '"' || replace(replace(message, '\\', '\\\\'), '"', '\\"') || '"' AS quoted FROM (SELECT DISTINCT message FROM diagnostics WHERE message IS NOT NULL)"""
+)
+def c23_escaped_all(spark, sf):
+    """c23_escaped over all messages, those beyond ASCII too."""
+    d = table(spark, sf, "diagnostics").where("message IS NOT NULL").select("message").distinct()
+    return d.select("message", paths.xml_escape(F.col("message")).alias("escaped"), paths.yaml_quote(F.col("message")).alias("quoted"))
+
+
 @query(
     r"""WITH e AS (SELECT event_id, list_filter(string_split(regexp_replace(replace(raw_path, '\', '/'), '/+', '/', 'g'), '/'), lambda x: x NOT IN ('', '.')) AS p FROM parsed_events WHERE regexp_matches(raw_path, '^(/|\\\\|[A-Za-z]:[\\/])')),
 s AS (SELECT event_id, i, array_to_string(p[i:], '/') AS path FROM (SELECT event_id, p, unnest(range(1, len(p) + 1)) AS i FROM e))
@@ -161,10 +175,22 @@ def c21_quoted_literals(spark, sf):
 
 @query(r"SELECT DISTINCT path, regexp_replace(replace(regexp_replace(path, '^\s+|\s+$', '', 'g'), '\', '/'), '^\./', '') AS cleaned FROM nodes WHERE path IS NOT NULL AND NOT regexp_matches(path, '[^\x00-\x7F]')")
 def c16_manual_paths(spark, sf):
+    """Of paths in ASCII only; c16_manual_paths_all has the others too."""
     n = table(spark, sf, "nodes").where(F.col("path").isNotNull() & ~F.col("path").rlike(r"[^\x00-\x7F]")).select("path").distinct()
     return n.select("path", paths.manual_path(F.col("path")).alias("cleaned"))
 
 
+#: What Unicode counts as white space; RE2's \s knows ASCII only.
+_UWS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"SELECT path, regexp_replace(replace(regexp_replace(path, '^{_UWS}+|{_UWS}+$', '', 'g'), '\', '/'), '^\./', '') AS cleaned FROM (SELECT DISTINCT path FROM nodes WHERE path IS NOT NULL)")
+def c16_manual_paths_all(spark, sf):
+    """c16_manual_paths over all paths, those beyond ASCII too."""
+    n = table(spark, sf, "nodes").where("path IS NOT NULL").select("path").distinct()
+    return n.select("path", paths.manual_path(F.col("path")).alias("cleaned"))
+
+
 # D: exclusions
 
 _RULES = cfg.Exclusions(prefixes=["prj_hub/tmp/"], globs=["*.pkl", "shared/*/*.rds"], folder_names=["annex"], exact_names=["housing_v1.csv"], presets=["archival_folders"])

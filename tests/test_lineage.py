@@ -13,7 +13,7 @@ from strandline import cli
 from strandline.config import Config, Display, Exclusions, ManualCluster, ManualEdge, Normalization, VersionFamilies, load_config
 from strandline.functions import paths
 from strandline.operators import exclusions, graph, overrides, render, sections, validate, versions
-from strandline.plans import pipeline
+from strandline.plans import pipeline, registry
 from strandline.resolve import python, r, stata
 from strandline.resolve.common import Context, normalize
 from strandline.sinks import text
@@ -60,6 +60,19 @@ def test_labels_and_keys(spark):
     assert tuple(got) == ("a/p.dta", None, 3, "a / chain", ".", "a&lt;&#233;&#128512;", '"x\\"\\\\"', "b/c", "a/b.py", "Pipeline stage", "a/b", False, True)
 
 
+def _table(spark, folder, name, schema, rows):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_texts_beyond_ascii_have_rows(spark, tmp_path):
+    _table(spark, tmp_path, "nodes", "node_row_id long, project_id long, path string", [(1, 1, "\u00a0./größe\\ñ.csv\u2003"), (2, 1, "./a.csv"), (3, 1, None)])
+    _table(spark, tmp_path, "diagnostics", "project_id long, message string", [(1, 'ß<"\\😀'), (1, "a&b"), (1, None)])
+    got = registry.QUERIES["c16_manual_paths_all"](spark, str(tmp_path)).collect()
+    assert {x.path: x.cleaned for x in got} == {"\u00a0./größe\\ñ.csv\u2003": "größe/ñ.csv", "./a.csv": "a.csv"}
+    got = registry.QUERIES["c23_escaped_all"](spark, str(tmp_path)).collect()
+    assert {(x.message, x.escaped, x.quoted) for x in got} == {('ß<"\\😀', '&#223;&lt;"\\&#128512;', '"ß<\\"\\\\😀"'), ("a&b", "a&amp;b", '"a&b"')}
+
+
 def test_exclusion_rules(spark):
     rules = Exclusions(prefixes=["gen/"], globs=["*.tmp", "x/*.py"], exact_names=["secret.csv"], folder_names=["skip"], paths=["one/file.do", "dir/"], presets=["archival_folders"])
     cases = {"gen": True, "gen/a": True, "generated/a": False, "a/b.tmp": True, "q/x/m.py": True, "q/x/y/m.py": False, "d/secret.csv": True, "a/skip/f": True, "a/skip": False, "a/skip/": True, "one/file.do": True, "dir/k": True, "old/a": True, "a.bak": True, "ok/a.py": False}

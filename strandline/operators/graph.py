@@ -1,9 +1,14 @@
-"""Graph algorithms as rounds of joins: components, levels, trimming to cycles, and the cycles themselves on what is left."""
+"""Graph algorithms as rounds of joins: components, levels, trimming to cycles, and the cycles themselves in each connected part of what is left."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandline.materialize import Cut, cut
 
@@ -105,10 +110,6 @@ def cyclic_core(links: DataFrame) -> DataFrame:
     return core.select(F.col("source").alias("node")).union(core.select("target")).distinct()
 
 
-#: The most links that the search for single cycles takes to the driver.
-MOST_CYCLE_LINKS = 200_000
-
-
 def canonical_cycle(cycle: list[str]) -> tuple[str, ...]:
     """The least of all rotations of the cycle and of its reversal."""
     if not cycle:
@@ -120,15 +121,14 @@ def canonical_cycle(cycle: list[str]) -> tuple[str, ...]:
     return min(out)
 
 
-def back_edge_cycles(links: list[tuple[str, str]]) -> list[tuple[str, ...]]:
-    """The cycles that back edges of a depth-first search close; nodes in order, neighbours in the order of the links. Each canonical cycle once."""
+def _closed(links: Iterable[tuple[str, str]]) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(start, canonical cycle) of each back edge of a depth-first search; nodes in order, neighbours in the order of the links. Different links give different cycles: a path of the tree and its last link."""
     after: dict[str, list[str]] = {}
     nodes = set()
     for a, b in links:
         after.setdefault(a, []).append(b)
         nodes |= {a, b}
     done: set[str] = set()
-    found: dict[tuple[str, ...], None] = {}
     for start in sorted(nodes):
         if start in done:
             continue
@@ -141,18 +141,59 @@ def back_edge_cycles(links: list[tuple[str, str]]) -> list[tuple[str, ...]]:
                 del at[last]
                 done.add(last)
             elif step in at:
-                found.setdefault(canonical_cycle(path[at[step] :]))
+                yield start, canonical_cycle(path[at[step] :])
             elif step not in done:
                 at[step] = len(path)
                 path.append(step)
                 todo.append(iter(after.get(step, ())))
-    return list(found)
+
+
+def back_edge_cycles(links: list[tuple[str, str]]) -> list[tuple[str, ...]]:
+    """The cycles that back edges of a depth-first search close, each canonical cycle once."""
+    return list(dict.fromkeys(c for _, c in _closed(links)))
+
+
+#: Cycles and links that a Python worker passes on at once.
+CYCLES_AT_ONCE, LINKS_AT_ONCE = 64, 10_000
+
+
+def found_cycles(edges: DataFrame, by: list[str], order: str = "edge_ord") -> DataFrame:
+    """(by, start, i, cycle): the cycles that back edges of a depth-first search of each graph close, in the order (start, i) in which it finds them.
+
+    Dead ends are trimmed and the rest is split into its connected parts, which a search never leaves; each is searched by itself, as a whole,
+    by one task. What leads to a cycle stays: it decides where the search enters, and so which cycles it finds.
+    """
+    links = edges.where("source IS NOT NULL AND target IS NOT NULL").groupBy(*by, "source", "target").agg(F.min(order).alias("o"))
+    ends = links.select(*by, F.explode(F.array("source", "target")).alias("node")).distinct()
+    # rounds run over numbers, which are short
+    ids = cut(ends.withColumn("id", F.monotonically_increasing_id()), "ids")
+    for end, name in (("source", "a"), ("target", "b")):
+        of = ids.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("node").alias("_node"), F.col("id").alias(name))
+        on = F.col(end) == F.col("_node")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        links = links.join(of, on).drop("_node", *(f"_{c}" for c in by))
+    links = cut(links, "links")
+    left = trim(links.select(F.col("a").alias("source"), F.col("b").alias("target"))).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    part = components(left.select(F.col("a").alias("node")).union(left.select("b")), left)
+    rows = left.join(part.select(F.col("node").alias("a"), "component"), "a").join(links, ["a", "b"]).select("component", "o", *by, "source", "target")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [*by, "start", "i", "cycle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for k in range(0, b.num_rows, LINKS_AT_ONCE) for r in zip(*(b.column(c).slice(k, LINKS_AT_ONCE).to_pylist() for c in ("component", "source", "target", *by))))
+        for _, group in itertools.groupby(each, lambda r: r[0]):
+            first = next(group)
+            found = _closed((r[1], r[2]) for r in itertools.chain([first], group))
+            out = ([*first[3:], start, i, list(c)] for i, (start, c) in enumerate(found))
+            while some := list(itertools.islice(out, CYCLES_AT_ONCE)):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in some], schema=arrow)
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "start string, i long, cycle array<string>"])
+    arrow = to_arrow_schema(edges.select(*by, F.lit("").alias("start"), F.lit(0).cast("long").alias("i"), F.array(F.lit("")).alias("cycle")).schema)
+    return rows.repartition("component").sortWithinPartitions("component", "o", "source", "target").mapInArrow(run, schema)
 
 
 def cycles(edges: DataFrame, order: str = "edge_ord") -> list[tuple[str, ...]]:
-    """The cycles of a graph. Only links that lead to a cycle come to the driver, after trimming, and at most MOST_CYCLE_LINKS of them; with more, use cyclic_core, which stays distributed."""
-    left = trim(edges)
-    rows = edges.groupBy("source", "target").agg(F.min(order).alias("o")).join(left, ["source", "target"]).orderBy("o").limit(MOST_CYCLE_LINKS + 1).collect()
-    if len(rows) > MOST_CYCLE_LINKS:
-        raise ValueError(f"more than {MOST_CYCLE_LINKS} links lead to cycles; use cyclic_core")
-    return back_edge_cycles([(r.source, r.target) for r in rows])
+    """The cycles of a graph, as found_cycles gives them, on the driver."""
+    return [tuple(r.cycle) for r in found_cycles(edges, [], order).orderBy("start", "i").collect()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import ARTIFACT_ROLES, TERMINAL_SUFFIXES
 from strandline.functions import paths
+from strandline.operators import graph
 from strandline.operators.assemble import diagnostic
 from strandline.operators.spread import listed
 
@@ -107,6 +108,13 @@ def counts(diags: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("_l") == 0, "level").otherwise("code").alias("kind"), F.coalesce("level", "code").alias("value"), "n")
 
 
+def cycle_detected(edges: DataFrame, by: list[str], order: str = "edge_ord") -> DataFrame:
+    """(by, level, code, message, payload, start, i) of each cycle; (start, i) is the order in which they are found."""
+    path = F.array_join(F.concat("cycle", F.slice("cycle", 1, 1)), " -> ")
+    found = graph.found_cycles(edges, by, order).withColumn("path", path)
+    return found.select(*by, *diagnostic("warning", "cycle_detected", F.concat(F.lit("Cycle detected: "), "path"), {"cycle": F.col("path")}), "start", "i")
+
+
 def diagnostics(nodes: DataFrame, edges: DataFrame, files: DataFrame | None, by: list[str]) -> DataFrame:
     """(by, level, code, message, payload) of all checks but cycles, each once."""
     at = [F.col(c) for c in by]

@@ -638,10 +638,17 @@ def m09_cyclic_core(spark, sf):
     return graph.cyclic_core(c.select(F.col("parent").alias("source"), F.col("child").alias("target")))
 
 
+@query()
+def m09_cycles(spark, sf):
+    """The cycles of each project's edges. Which ones a depth-first search finds has no plain SQL; tests compare them with a search of each whole project."""
+    return graph.found_cycles(edges(spark, sf), BY).select("project_id", "cycle")
+
+
 @query()
 def m00_diagnostics(spark, sf):
     """All checks in one relation."""
-    return validate.diagnostics(nodes(spark, sf), edges(spark, sf), _files(spark, sf), BY)
+    e = edges(spark, sf)
+    return validate.diagnostics(nodes(spark, sf), e, _files(spark, sf), BY).unionByName(validate.cycle_detected(e, BY).drop("start", "i"))
 
 
 # N: rendering

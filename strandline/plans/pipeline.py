@@ -217,13 +217,14 @@ def validated(g: LineageGraph) -> LineageGraph:
     """All checks, absolute paths bundled by script, each diagnostic once."""
     on_disk = g.files.select("path")
     found = validate.diagnostics(g.nodes, g.edges, on_disk, [])
-    said = [("warning", "cycle_detected", "Cycle detected: " + " -> ".join([*c, c[0]]), {"cycle": " -> ".join([*c, c[0]])}) for c in graph.cycles(g.edges)]
+    rings = cut(validate.cycle_detected(g.edges, []), "rings").orderBy("start", "i").select("level", "code", "message", "payload")
+    said = []
     n = g.files.where("category = 'excluded'").count()
     if n:
         said.append(("info", "excluded_path_inventory", f"{n} excluded paths recorded in this run.", {"count": str(n)}))
     if not g.edges.limit(1).count():
         said.append(("warning", "empty_graph", "Graph has no edges.", {}))
-    every = cut(g.diagnostics.unionByName(found.select("level", "code", "message", "payload")).unionByName(g.spark.createDataFrame(said, DIAGNOSTICS)).withColumn("diag_id", F.monotonically_increasing_id()), "found")
+    every = cut(g.diagnostics.unionByName(found.select("level", "code", "message", "payload")).unionByName(rings).unionByName(g.spark.createDataFrame(said, DIAGNOSTICS)).withColumn("diag_id", F.monotonically_increasing_id()), "found")
     bundled = cut(validate.bundle_absolute(every, []), "bundled")
     several = bundled.where("n > 1")
     message = F.concat(F.lit("Absolute paths detected "), F.col("n").cast("string"), F.lit(" times in "), "script")

@@ -203,10 +203,23 @@ _RULES = cfg.Exclusions(prefixes=["prj_hub/tmp/"], globs=["*.pkl", "shared/*/*.r
 FROM (SELECT node_row_id, path AS p FROM nodes WHERE path IS NOT NULL AND NOT ends_with(path, '/') AND NOT contains(path, '//') AND NOT contains(path, '/./') AND NOT starts_with(path, './') AND path <> '')"""
 )
 def d03_excluded(spark, sf):
+    """Of paths that need no folding only; d03_excluded_all has the others too."""
     n = table(spark, sf, "nodes").where("path IS NOT NULL AND NOT endswith(path, '/') AND NOT contains(path, '//') AND NOT contains(path, '/./') AND NOT startswith(path, './') AND path <> ''")
     return n.select("node_row_id", exclusions.excluded(F.col("path"), _RULES).alias("excluded"))
 
 
+@query(
+    r"""SELECT node_row_id, (p = 'prj_hub/tmp' OR starts_with(p, 'prj_hub/tmp/') OR regexp_extract(p, '[^/]*$') = 'housing_v1.csv'
+  OR list_has_any(CASE WHEN ends_with(path, '/') THEN string_split(p, '/') ELSE string_split(p, '/')[:-2] END, ['annex', 'archive', '~old', 'old', 'backup'])
+  OR regexp_matches(p, '(?:^|/)[^/]*\.pkl$|(?:^|/)shared/[^/]*/[^/]*\.rds$|(?:^|/)[^/]*\.bak$')) AS excluded
+FROM (SELECT node_row_id, path, CASE WHEN starts_with(path, '/') THEN '/' ELSE '' END || array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM nodes WHERE path IS NOT NULL)"""
+)
+def d03_excluded_all(spark, sf):
+    """d03_excluded over all paths: folders, repeated slashes and dots are folded before the test."""
+    n = table(spark, sf, "nodes").where("path IS NOT NULL")
+    return n.select("node_row_id", exclusions.excluded(F.col("path"), _RULES).alias("excluded"))
+
+
 @query("SELECT DISTINCT path, (" + " OR ".join(f"contains(lower(path), '{p}')" for p in cfg.TEMPORARY_PATTERNS) + ") AS temporary FROM nodes WHERE path IS NOT NULL")
 def d09_temporary(spark, sf):
     n = table(spark, sf, "nodes").where("path IS NOT NULL").select("path").distinct()

@@ -4,6 +4,7 @@ import json
 import posixpath
 import random
 
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -82,6 +83,15 @@ def test_exclusion_rules(spark):
         Exclusions(presets=["nope"]).resolved()
 
 
+def test_paths_that_need_folding_have_verdicts(spark, tmp_path):
+    cases = {"./prj_hub/tmp/a.csv": True, "prj_hub//tmp/": True, "a/./annex/b.csv": True, "a/annex": False, "a/annex/": True, "x/shared/./k//m.rds": True, ".//housing_v1.csv": True, "": False, "/": False, "./a/b.csv": False, "//old//a": True, "/./b.bak": True}
+    _table(spark, tmp_path, "nodes", "node_row_id long, path string", [*enumerate(cases), (99, None)])
+    got = {x.node_row_id: x.excluded for x in registry.QUERIES["d03_excluded_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(cases.values()))
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW nodes AS SELECT * FROM '{tmp_path}/nodes.parquet/*.parquet'")
+    assert got == dict(duckdb.execute(registry.SQL["d03_excluded_all"]).fetchall())
+
+
 # readers
 
 

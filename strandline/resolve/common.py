@@ -18,8 +18,6 @@ FIELDS = [f.split()[0] for f in PARSED_SCHEMA.split(", ")]
 BARE = re.compile(r"^[./\\]*$")
 ABSOLUTE = re.compile(r"^(?:/|\\\\|[A-Za-z]:[\\/])")
 EXTERNAL = re.compile(r"^(?:https?|ftp|s3|gs)://")
-#: The most paths that the values of loops and lists make of one expression; beyond it the expression stays a placeholder.
-MOST_EXPANSIONS = 10_000
 
 
 def normalize(token: str) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Sequence
 
 from strandline.operators.catalog import CATALOG
-from strandline.resolve.common import MOST_EXPANSIONS, Context, normalize, row
+from strandline.resolve.common import Context, normalize, row
 
 # The forms of assignments and loops.
 GLOBAL = re.compile(r"^\s*global\s+(\w+)\s+(.+?)\s*$", re.I)
@@ -27,12 +28,25 @@ def words(text: str) -> list[str]:
     return text.replace('"', " ").replace("`'", " ").split()
 
 
+class Numbers(Sequence):
+    """The numbers of a range as texts, each made when it is asked for: a loop that no path uses costs nothing, however long it is."""
+
+    def __init__(self, numbers: range):
+        self.numbers = numbers
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, i: int) -> str:
+        return str(self.numbers[i])
+
+
 class Environment:
     def __init__(self, c: Context):
         self.c = c
         self.globals: dict[str, str] = dict(c.inherited)
         self.locals: dict[str, list[str]] = {"c(pwd)": ["."], "c(current_do_file)": [c.script]}
-        self.loops: list[tuple[str, list[str]]] = []
+        self.loops: list[tuple[str, Sequence[str]]] = []
 
     def expand(self, text: str) -> str:
         """Globals replaced, whole names only, until nothing changes."""
@@ -65,12 +79,6 @@ class Environment:
                         t = t.replace(f"`{n}'", env[n][0] if len(env.get(n, ())) == 1 else f"{{{n}}}")
                     out.append(t)
                     continue
-                size = 1
-                for n in names:
-                    size *= len(env[n])
-                if size > MOST_EXPANSIONS:
-                    out.append(MACRO.sub(r"{\1}", t))
-                    continue
                 for values in itertools.product(*(env[n] for n in names)):
                     new = t
                     for n, v in zip(names, values):
@@ -106,10 +114,7 @@ def parse(text: str, c: Context) -> list[dict]:
         elif m := FORVALUES.search(line):
             a, b = int(m[2]), int(m[3])
             step = 1 if b >= a else -1
-            if abs(b - a) < MOST_EXPANSIONS:
-                env.loops.append((m[1], [str(v) for v in range(a, b + step, step)]))
-            else:
-                env.loops.append((m[1], [c.placeholder]))
+            env.loops.append((m[1], Numbers(range(a, b + step, step))))
         else:
             out += _commands(line, i, env, c)
     return out

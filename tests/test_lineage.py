@@ -131,6 +131,25 @@ estimates save "e.ster"
     assert not up[0]["was_absolute"]
 
 
+def test_long_stata_loops_give_all_paths():
+    src = """forvalues i = 1/101 {
+forvalues j = 1/101 {
+save "a_`i'_`j'.dta"
+}
+}
+forvalues k = 10001/0 {
+use "b_`k'.dta"
+}
+forvalues n = 1/1000000000000 {
+use "c.dta"
+}
+"""
+    a, b, c = _events(stata.parse(src, Context("/p", "code/a.do")))
+    assert a == ("save", [f"a_{i}_{j}.dta" for i in range(1, 102) for j in range(1, 102)], "full")
+    assert b == ("use", [f"b_{k}.dta" for k in range(10001, -1, -1)], "full")
+    assert c == ("use", ["c.dta"], "full")
+
+
 def test_python_reader():
     src = """import os, json
 import pandas as pd

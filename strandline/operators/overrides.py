@@ -55,6 +55,27 @@ def with_hints(missing: DataFrame, names: list[str], cutoff: float = 0.6) -> Dat
     return missing.mapInPandas(run, schema)
 
 
+def closest(missing: list[str], names: DataFrame, name: str = "node_id", cutoff: float = 0.6) -> DataFrame:
+    """(node_id, hint): for each of missing the most similar of all names, as difflib.get_close_matches chooses it (of equally similar ones the greatest); none below the cutoff. missing is a configuration's and goes to every task; names stay where they are."""
+    wanted = sorted(set(missing))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple[float, str]] = {}
+        match = difflib.SequenceMatcher()
+        for b in batches:
+            for m in wanted:
+                match.set_seq2(m)
+                for n in b[name]:
+                    match.set_seq1(n)
+                    least = best[m][0] if m in best else cutoff
+                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
+                        best[m] = max(best.get(m, (r, n)), (r, n))
+        yield pd.DataFrame([(m, r, n) for m, (r, n) in best.items()], columns=["node_id", "ratio", "hint"])
+
+    each = names.where(F.col(name).isNotNull()).select(name).distinct().mapInPandas(run, "node_id string, ratio double, hint string")
+    return each.groupBy("node_id").agg(F.max_by("hint", F.struct("ratio", "hint")).alias("hint"))
+
+
 def empty_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
     """(by, cluster_id) of clusters none of whose definitions has a node or a member cluster."""
     n = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0))

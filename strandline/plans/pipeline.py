@@ -149,8 +149,7 @@ def _manual_clusters(g: LineageGraph, config: Config) -> LineageGraph:
     asg = cut(overrides.assignments(df, [], F.col("row")), "assigned")
     lost = overrides.missing_members(asg, g.nodes, [])
     missing = [r.asDict() for r in lost.collect()]  # at most the configured members
-    names = [r.node_id for r in g.nodes.select("node_id").limit(50_000).collect()] if missing else []  # hints only
-    hints = {r.node_id: r.hint for r in overrides.with_hints(lost, names).collect()} if missing else {}
+    hints = {r.node_id: r.hint for r in overrides.closest([m["node_id"] for m in missing], g.nodes).collect()} if missing else {}
     said = [("warning", "cluster_member_not_found", f"Manual cluster member is no node: {m['node_id']}" + (f" (did you mean {hints[m['node_id']]}?)" if hints.get(m["node_id"]) else ""), {"cluster_id": m["cluster_id"], "member": m["node_id"]}) for m in missing]
     said += [("warning", r.code, f"Cluster {r.cluster_id}: {r.code}", {"cluster_id": r.cluster_id, **({"member": r.subject} if r.subject else {})}) for r in overrides.cluster_problems(df.drop("row"), []).collect()]
     for cycle in graph.back_edge_cycles([(c.cluster_id, m) for c in wanted for m in c.member_cluster_ids]):

@@ -1,5 +1,6 @@
 """Readers, pipeline, graph algorithms, exclusions, overrides, sinks on small fixtures."""
 
+import difflib
 import json
 import posixpath
 import random
@@ -339,6 +340,23 @@ def test_hints(spark):
     assert {x.node_id: x.hint for x in overrides.with_hints(missing, ["code/a1.py", "other.do"]).collect()} == {"code/a.py": "code/a1.py", "zzz": None}
 
 
+def test_hints_come_from_all_nodes(spark):
+    names = [f"q{i:05d}.do" for i in range(60_000)] + ["code/load.py", "code/loae.py", "data/raw.csv"]
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id string").repartition(7)
+    got = {x.node_id: x.hint for x in overrides.closest(["code/loa.py", "data/rav.csv", "#"], nodes).collect()}
+    assert got == {m: difflib.get_close_matches(m, names, n=1)[0] for m in ("code/loa.py", "data/rav.csv")}
+
+
+def test_manual_cluster_hints_reach_beyond_50_000_nodes(spark):
+    ids = [f"q{i:05d}.do" for i in range(50_010)] + ["code/load.py"]
+    nodes = spark.createDataFrame([(n, "script", None, n, "script", None) for n in ids], "node_id string, node_type string, label string, path string, role string, cluster_id string").coalesce(1)
+    empty = spark.createDataFrame([], "edge_ord bigint, source string, target string, operation string, kind string, visible_label string")
+    g = pipeline.LineageGraph(spark, "/p", nodes, empty, spark.createDataFrame([], pipeline.DIAGNOSTICS), spark.createDataFrame([], pipeline.CLUSTERS), spark.createDataFrame([], "path string"))
+    done = pipeline._manual_clusters(g, Config(clusters=[ManualCluster(cluster_id="c", members=["q00001.do", "code/loa.py"])]))
+    said = [x.message for x in done.diagnostics.where("code = 'cluster_member_not_found'").collect()]
+    assert said == ["Manual cluster member is no node: code/loa.py (did you mean code/load.py?)"]
+
+
 def test_views_and_bridges(spark):
     nodes = spark.createDataFrame([("a.do", "script", "script", None), ("b.do", "script", "script", "c1"), ("x.dta", "artifact", "intermediate", None), ("y.png", "artifact", "deliverable", None)], "node_id string, node_type string, role string, cluster_id string")
     edges = spark.createDataFrame([(1, "a.do", "x.dta", "save", "save"), (2, "x.dta", "b.do", "use", "use"), (3, "b.do", "y.png", "g", None), (4, "b.do", "b.do", "m", None)], "edge_ord long, source string, target string, operation string, visible_label string")

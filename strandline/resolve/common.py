@@ -17,6 +17,8 @@ PARSED_SCHEMA = (
 FIELDS = [f.split()[0] for f in PARSED_SCHEMA.split(", ")]
 BARE = re.compile(r"^[./\\]*$")
 ABSOLUTE = re.compile(r"^(?:/|\\\\|[A-Za-z]:[\\/])")
+#: Before a candidate that is a name only: the one file of the tree that has it, in whichever folder.
+ANYWHERE = "**/"
 EXTERNAL = re.compile(r"^(?:https?|ftp|s3|gs)://")
 
 

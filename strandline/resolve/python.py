@@ -10,7 +10,7 @@ import posixpath
 import re
 
 from strandline.operators.catalog import CATALOG, PY_PATH_ARGUMENTS
-from strandline.resolve.common import Context, row
+from strandline.resolve.common import ABSOLUTE, ANYWHERE, Context, row
 
 _CALLS = {c.command: c.kind for c in CATALOG if c.language == "python"}
 _LITERAL = [(c.kind, c.command, re.compile(c.regex)) for c in CATALOG if c.language == "python"]
@@ -36,6 +36,7 @@ class Reader:
         self.busy: set[str] = set()
         self.memo: dict[str, str | None] = {}
         self.imports: list[tuple[int, str, list[str]]] = []
+        self.taken_from: dict[str, tuple[str, str]] = {}  # local name to module and name there
         for n in ast.walk(tree):
             if isinstance(n, ast.Import):
                 for a in n.names:
@@ -46,6 +47,7 @@ class Reader:
                 self.imports.append((n.lineno, base, [a.name for a in n.names]))
                 for a in n.names:
                     self.alias[a.asname or a.name] = f"{n.module or ''}.{a.name}".strip(".")
+                    self.taken_from[a.asname or a.name] = (base, a.name)
             elif isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
                 self.values[n.targets[0].id] = n.value
             elif isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and n.value is not None:
@@ -72,6 +74,11 @@ class Reader:
         if n in self.busy:
             return None
         if n not in self.values:
+            if n in self.taken_from:  # under the name that the module gives it
+                module, name = self.taken_from[n]
+                for place in self.module_places(module):
+                    if f"{place}:{name}" in self.constants:
+                        return self.constants[f"{place}:{name}"]
             return self.constants.get(n, self.c.inherited.get(n))
         self.busy.add(n)
         self.memo[n] = v = self.value(self.values[n])
@@ -194,6 +201,8 @@ class Reader:
                 return
             event = c.event(n.lineno, command, ast.unparse(arg), [v + tail], "full", None, write)
             if event:
+                if event["candidates"] and not tail and (end := self.bare_end(arg)):
+                    event["candidates"].append(ANYWHERE + end)
                 taken.add((n.lineno, write))
                 out.append(event)
 
@@ -261,6 +270,31 @@ class Reader:
                 out.append(row("global", c, line=e.lineno, name=n, value=v))
         return out
 
+    def module_places(self, module: str) -> list[str]:
+        """The files that a module's name may mean: below the root, else beside the script; with dots in front only from the script's folder."""
+        up = len(module) - len(module.lstrip("."))
+        f = module.lstrip(".").replace(".", "/") + ".py"
+        here = posixpath.dirname(self.c.script)
+        for _ in range(up - 1):
+            here = posixpath.dirname(here)
+        return [posixpath.join(here, f)] if up else list(dict.fromkeys([f, posixpath.join(here, f)]))
+
+    def bare_end(self, e: ast.expr | None) -> str | None:
+        """the file name without folders that an expression joins to an absolute base."""
+        seen = set()
+        while isinstance(e, ast.Name) and e.id in self.values and e.id not in seen:
+            seen.add(e.id)
+            e = self.values[e.id]
+        match e:
+            case ast.Call(args=[first, *rest]) if rest and self.dotted(e.func) == "os.path.join":
+                pass
+            case ast.BinOp(left=first, op=ast.Div(), right=last):
+                rest = [last]
+            case _:
+                return None
+        base, end = self.value(first), self.join(rest)
+        return end if base and end and ABSOLUTE.match(base) and not re.search(r"[/\\*]", end) else None
+
     def places(self, p: str) -> list[str]:
         return list(dict.fromkeys([posixpath.normpath(p), posixpath.normpath(posixpath.join(posixpath.dirname(self.c.script), p))]))
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import Config
+from strandline.functions.paths import basename
 from strandline.materialize import Cut, cut
 from strandline.operators import graph
 from strandline.resolve import python, r, stata
-from strandline.resolve.common import FIELDS, PARSED_SCHEMA, Context
+from strandline.resolve.common import ANYWHERE, FIELDS, PARSED_SCHEMA, Context
 
 READERS = {"stata": stata.parse, "python": python.parse, "r": r.parse}
 
@@ -56,9 +57,12 @@ def chosen_children(parsed: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_existing(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """Events of one absolute path outside the root get the longest suffix of it that is a file."""
+    """Events of one absolute path outside the root get the longest suffix of it that is a file; F13: else, where a bare name was joined to an absolute base, the only file of that name."""
     far = parsed.where("kind = 'event' AND size(candidates) > 0").select("script", "line", "command", "raw_path", F.posexplode("candidates").alias("i", "path"))
-    best = far.join(files.select("path").distinct(), "path", "left_semi").groupBy("script", "line", "command", "raw_path").agg(F.min_by("path", "i").alias("_best"))
+    real = files.select("path").distinct()
+    only = real.groupBy(F.concat(F.lit(ANYWHERE), basename(F.col("path"))).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("real")).where("n = 1")
+    known = real.select("path", F.col("path").alias("real")).unionByName(only.select(F.col("name").alias("path"), "real"))
+    best = far.join(known, "path").groupBy("script", "line", "command", "raw_path").agg(F.min_by("real", "i").alias("_best"))
     out = parsed.join(best, ["script", "line", "command", "raw_path"], "left")
     return out.withColumn("normalized_paths", F.when(F.col("_best").isNotNull(), F.array("_best")).otherwise(F.col("normalized_paths"))).select(*FIELDS)
 
@@ -86,8 +90,10 @@ def resolve(scripts: DataFrame, files: DataFrame, root: str, config: Config) ->
     for k in [*range(1, top + 1), -1]:
         at = level.where(F.col("level") == k).select(F.col("node").alias("script"))
         came = flow.join(passing.withColumnRenamed("script", "parent"), "parent").join(at.withColumnRenamed("script", "child"), "child", "left_semi")
+        # a Python script may give a module's value another name, so it gets them by module as well
+        of_module = came.where(F.endswith(F.lower("child"), F.lit(".py"))).select(F.col("child").alias("script"), F.concat("parent", F.lit(":"), "name").alias("name"), "value")
         came = cut(came.groupBy(F.col("child").alias("script"), "name").agg(F.max_by("value", "parent").alias("value")), "inherited")
-        maps = came.groupBy("script").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("inherited"))
+        maps = came.unionByName(of_module).groupBy("script").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("inherited"))
         again = base.join(at, "script", "left_semi").join(maps, "script", "left").withColumn("inherited", F.coalesce("inherited", empty))
         rows = cut(parse_scripts(again, root, config), "level")
         done.append(rows)

@@ -16,7 +16,7 @@ from strandline.config import Config, Display, Exclusions, ManualCluster, Manual
 from strandline.functions import paths
 from strandline.operators import exclusions, graph, overrides, render, sections, validate, versions
 from strandline.plans import pipeline, registry
-from strandline.resolve import python, r, stata
+from strandline.resolve import python, r, run, stata
 from strandline.resolve.common import Context, normalize
 from strandline.sinks import text
 
@@ -185,6 +185,20 @@ export(a, output_path=f"out/{unknown}/e.csv")
     assert _events(broken) == [("read_csv", ["a.csv"], "full"), ("to_csv", ["b.csv"], "full")]
 
 
+def test_python_names_of_modules_and_unique_files(spark, tmp_path):
+    files = {
+        "a.py": 'DIR = "from_a"\n',
+        "lib/b.py": 'DIR = "from_b"\n',
+        "c.py": 'from a import DIR as X\nfrom lib.b import DIR as Y\nimport os\nimport pandas as pd\npd.read_csv(os.path.join(X, "x.csv"))\npd.read_csv(os.path.join(Y, "y.csv"))\n',
+        "d.py": 'import os\nimport pandas as pd\nBASE = "/abs/else"\npd.read_csv(os.path.join(BASE, "one.csv"))\npd.read_csv(os.path.join(BASE, "two.csv"))\npd.read_csv("/abs/other/one.csv")\n',
+    }
+    scripts = spark.createDataFrame([(k, "python", v.encode()) for k, v in files.items()], "script string, language string, content binary")
+    tree = spark.createDataFrame([(p,) for p in [*files, "data/one.csv", "data/two.csv", "old/two.csv"]], "path string")
+    rows, _ = run.resolve(scripts, tree, "/srv/p", Config())
+    got = {(x.script, x.line): x.normalized_paths for x in rows.where("kind = 'event'").collect()}
+    assert got == {("c.py", 5): ["from_a/x.csv"], ("c.py", 6): ["from_b/y.csv"], ("d.py", 4): ["data/one.csv"], ("d.py", 5): ["../../abs/else/two.csv"], ("d.py", 6): ["../../abs/other/one.csv"]}
+
+
 def test_r_reader():
     src = """source("util.R")
 root <- here::here("data")  # "x"

@@ -134,20 +134,18 @@ class Drift:
     def _aligned(self, moved: DataFrame, values: DataFrame) -> DataFrame:
         """(series, file, prev, rec, prev_rec): the records of both files that are about the same node, for the file pairs of moved.
 
-        The field that names nodes is any field that has another text in each record of its file; of these, the pair of fields (one of each
-        file) with most texts in common is taken, known names of ids first.
+        A text names a record where no other record of its file has it in that field, and the record has no other text there. Of all pairs of
+        fields (one of each file) the one with most such texts in common is taken; known names of ids decide ties.
         """
         pairs = moved.select("series", "file", "prev").distinct()
-        n_recs = values.groupBy("series", "file").agg(F.count_distinct("rec").alias("n_recs"))
-        keyed = values.where("bit = 8").groupBy("series", "file", "field").agg(
-            F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"), F.count_distinct("rec").alias("n_own")
-        )
-        keyed = keyed.join(n_recs, ["series", "file"]).where("n = n_texts AND n = n_own AND 2 * n > n_recs").select("series", "file", "field")
-        names = values.where("bit = 8").join(keyed, ["series", "file", "field"]).select("series", "file", "field", "text", "rec")
+        texts, key = values.where("bit = 8"), ["series", "file", "field"]
+        once = texts.groupBy(*key, "text").agg(F.count("*").alias("n"), F.min("rec").alias("rec")).where("n = 1").select(*key, "text", "rec")
+        several = texts.groupBy(*key, "rec").agg(F.count("*").alias("n")).where("n > 1")
+        names = once.join(several, [*key, "rec"], "left_anti")
         old = names.select("series", F.col("file").alias("prev"), F.col("field").alias("prev_field"), "text", F.col("rec").alias("prev_rec"))
         both = pairs.join(names, ["series", "file"]).join(old, ["series", "prev", "text"])
         known = F.col("field").isin(self.id_names) & F.col("prev_field").isin(self.id_names)
-        score = F.struct(known.alias("k"), F.col("n"), (F.col("field") == F.col("prev_field")).alias("same"))
+        score = F.struct(F.col("n"), known.alias("k"), (F.col("field") == F.col("prev_field")).alias("same"))
         best = (
             both.groupBy("series", "file", "field", "prev_field")
             .agg(F.count("*").alias("n"))

@@ -45,6 +45,18 @@ def test_drift_log(spark):
     }
 
 
+def test_renaming_is_found_by_the_field_that_aligns_most(spark):
+    before = [{"node_id": f"a{i}", "key": f"k{i}", "path": f"p{i}"} for i in range(6)]
+    after = [{"node_id": "a0" if i == 5 else f"z{i}", "key": f"k{i}", "file": f"p{i}"} for i in range(6)]
+    # one key repeats, and most records of the later file have none
+    before.append(before[0])
+    after += [{"note": f"n{i}"} for i in range(9)]
+    rows = [(0, f, "g", f"2031-01-0{d} 00:00:00", i, json.dumps(r)) for f, d, rs in (("f1", 1, before), ("f2", 2, after)) for i, r in enumerate(rs)]
+    raw = _raw(spark, rows)
+    got = {(x.change, x.field_before, x.field_after) for x in drift.Drift(raw).changes().where("n > 1").collect()}
+    assert got == {("renamed", "path", "file"), ("added", "", "note")}
+
+
 def test_drift_consistent_table(spark):
     raw = _raw(spark, _snapshots())
     out = drift.consistent_table(raw, drift.Drift(raw), ["raw_id", "file_name"])

@@ -490,3 +490,23 @@ def test_streamed_usage(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("usage").columns == ["window_start", "project_id", "kind", "n"]
+
+
+def test_events_behind_the_watermark_are_merged(spark, sf_dir, tmp_path):
+    from strandline.streaming import changes
+
+    one = spark.read.parquet(f"{sf_dir}/parsed_events.parquet").where("raw_path IS NOT NULL").limit(1)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda i, t: one.withColumn("event_id", F.lit(i).cast(one.schema["event_id"].dataType)).withColumn("scanned_at", F.lit(t).cast(one.schema["scanned_at"].dataType))
+    (tmp_path / "in").mkdir()
+    stream = changes.deduplicated(changes.event_stream(spark, src, one.schema), ["event_id"])
+    # the last two come days late, once the watermark has passed them; one of them twice
+    for rows in (at(1, "2031-01-09 00:00:00"), at(2, "2031-01-10 00:00:00"), at(3, "2031-01-01 00:00:00").union(at(4, "2031-01-02 00:00:00")).union(at(4, "2031-01-02 00:00:00"))):
+        rows.coalesce(1).write.mode("append").parquet(src)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        assert q.awaitTermination(60)
+    arrived, written = spark.read.parquet(src), spark.read.schema(one.schema).parquet(out)
+    ids = lambda df: sorted(int(x.event_id) for x in df.collect())
+    assert ids(written) == [1, 2]
+    assert ids(changes.missed(arrived, written, ["event_id"])) == [3, 4]
+    assert sorted((x.window_start.day, x.n) for x in changes.merged_usage(arrived, written, ["event_id"]).collect()) == [(1, 1), (2, 1), (9, 1), (10, 1)]

@@ -27,20 +27,25 @@ def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") ->
     return out.select(*keys, "n", "n_rows", "part", "members")
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, previous: dict[str, Column] | None = None) -> DataFrame:
     """df with ``name``: the place of each row within its by group (the whole table without by), from 1, in the given order.
 
-    Rows are range-partitioned by group and order, so a group of any size is spread over tasks; what earlier partitions hold of a group is
-    added from one count for each partition and group. Ties get any order.
+    previous: further columns, by name: what the expression gives for the row before in the group, NULL for a group's first row. Rows are
+    range-partitioned by group and order, so a group of any size is spread over tasks; what earlier partitions hold of a group is added from
+    one count, and one last row, for each partition and group. Ties get any order.
     """
     keys = [F.col(b).asc() for b in by]
+    before_it = F.struct(*(c.alias(n) for n, c in (previous or {}).items())) if previous else F.lit(True)
     spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_pid", F.spark_partition_id())
     rows = cut(spread.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    counts = rows.groupBy(*by, "_pid").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*(F.col(b).alias(f"_b_{b}") for b in by), F.col("_pid").alias("_b_pid"), before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*by, "_pid").orderBy("_at"))
+    counts = rows.groupBy(*by, "_pid").agg(F.count("*").alias("_n"), F.max_by(before_it, "_at").alias("_last"))
+    parts = Window.partitionBy(*by).orderBy("_pid")
+    before = F.coalesce(F.sum("_n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(b).alias(f"_b_{b}") for b in by), F.col("_pid").alias("_b_pid"), before.alias("_before"), F.lag("_last").over(parts).alias("_last"))
+    within = Window.partitionBy(*by, "_pid").orderBy("_at")
     on = F.col("_pid") == F.col("_b_pid")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    return rows.withColumn("_i", place).join(starts, on).select(*df.columns, (F.col("_i") + F.col("_before")).alias(name))
+    rows = rows.withColumn("_i", F.row_number().over(within)).withColumn("_prev", F.lag(before_it).over(within)).join(starts, on)
+    more = (F.coalesce("_prev", "_last")[n].alias(n) for n in previous or {})
+    return rows.select(*df.columns, (F.col("_i") + F.col("_before")).alias(name), *more)

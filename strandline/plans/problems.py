@@ -35,6 +35,12 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(raw, drift.Drift(raw), ["raw_id", "project_id", "graph_id", "file_name", "rec_no", "written_at"])
 
 
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of that table: the names and types each had, its type, and whether values needed a wider one than the types alone."""
+    rows = drift.Drift(table(spark, sf_dir, "snapshot_raw")).columns()
+    return spark.createDataFrame([tuple(c.values()) for c in rows], "name string, fields array<string>, types array<string>, widened boolean, type string")
+
+
 # 2: copies hidden by formatting
 
 
@@ -101,7 +107,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.differences(table(spark, sf_dir, "snapshot_left"), table(spark, sf_dir, "snapshot_right"), SNAPSHOT_KEYS, SNAPSHOT_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p2_found, p2_records, p3_found, p4_found, p4_descendants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p1_columns, p2_found, p2_records, p3_found, p4_found, p4_descendants, p5_found)}
 
 _WORDS = r"trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 

@@ -57,6 +57,62 @@ def test_renaming_is_found_by_the_field_that_aligns_most(spark):
     assert got == {("renamed", "path", "file"), ("added", "", "note")}
 
 
+def _two_files(spark, before, after):
+    rows = [(0, f, "g", f"2031-01-0{d} 00:00:00", i, json.dumps(r)) for f, d, rs in (("f1", 1, before), ("f2", 2, after)) for i, r in enumerate(rs)]
+    return _raw(spark, rows)
+
+
+def _log(raw):
+    return {(x.change, x.field_before, x.field_after) for x in drift.Drift(raw).changes().collect()}
+
+
+def test_agreement_comes_before_known_names(spark):
+    # one node agrees by accident, uid in all records
+    before = [{"uid": f"u{i}", "node": f"a{i}", "role": f"r{i}"} for i in range(10)]
+    after = [{"uid": f"u{i}", "node": "a0" if i == 5 else f"b{i}", "kind": f"r{i}"} for i in range(10)]
+    assert _log(_two_files(spark, before, after)) == {("renamed", "role", "kind")}
+
+
+def test_renaming_is_found_beside_repeated_nodes(spark):
+    before = [{"id": f"n{i}", "role": f"r{i}"} for i in range(10)]
+    after = [{"id": f"n{i}", "kind": f"r{i}"} for i in range(10)]
+    assert _log(_two_files(spark, [*before, before[3]], after)) == {("renamed", "role", "kind")}
+    # half of the nodes stand twice
+    assert _log(_two_files(spark, before + before[:5], after + after[5:])) == {("renamed", "role", "kind")}
+
+
+def test_swapped_fields_find_their_best_partners(spark):
+    before = [{"id": f"n{i}", "a": f"x{i}", "b": f"x{i}" if i < 6 else f"y{i}", "c": i} for i in range(10)]
+    after = [{"id": f"n{i}", "p": f"x{i}", "q": f"x{i}" if i < 6 else f"y{i}", "r": f"{i}", "s": "new"} for i in range(10)]
+    got = _log(_two_files(spark, before, after))
+    assert got == {("renamed", "a", "p"), ("renamed", "b", "q"), ("renamed", "c", "r"), ("retyped", "c", "r"), ("added", "", "s")}
+
+
+def test_series_and_names_may_be_null(spark):
+    rows = [(0, None if d == 1 else "f2", None, f"2031-01-0{d} 00:00:00", i, json.dumps({"id": f"n{i}", f"f{d}": i})) for d in (1, 2) for i in range(4)]
+    rows += [(1, "f3", None, "2031-01-03 00:00:00", 0, "not JSON"), (2, "f4", None, None, 0, '{"id": "n1", "id": "n2", "\\ud800": 1, "\\ud801": 2}')]
+    raw = _raw(spark, rows)
+    got = {(x.file, x.n, x.change, x.field_before, x.field_after) for x in drift.Drift(raw).changes().collect()}
+    assert {x for x in got if x[1] == 3} == {("f2", 3, "renamed", "f1", "f2")}
+    assert {x for x in got if x[1] == 4} == {("f3", 4, "removed", "id", ""), ("f3", 4, "removed", "f2", "")}
+    assert drift.consistent_table(raw, drift.Drift(raw), ["raw_id"]).count() == 9
+
+
+def test_no_value_is_lost_to_a_type(spark):
+    big, huge, fine = 9007199254740993, int("1" + "0" * 45), "0.1234567890123456789"
+    files = [{"id": "a", "n": big, "m": 1, "h": huge, "f": 1.5, "l": [1, 2.50]}, {"id": "a", "n": 1.5, "m": 0.25, "h": 7, "f": 2.5, "l": [{"b": 1, "a": None}]}]
+    rows = [(i, f"f{i}", "g", f"2031-01-0{i + 1} 00:00:00", 0, json.dumps(r)) for i, r in enumerate(files)]
+    rows.append((2, "f2", "g", "2031-01-03 00:00:00", 0, f'{{"id": "b", "f": {fine}, "d": {"9" * 5000}}}'))
+    raw = _raw(spark, rows)
+    d = drift.Drift(raw)
+    assert {c["name"]: (c["type"], c["widened"]) for c in d.columns()} == {
+        "id": ("string", False), "n": ("string", True), "m": ("fraction", False), "h": ("string", True), "f": ("string", True), "l": ("list", False), "d": ("string", True)
+    }
+    out = {r.raw_id: r for r in drift.consistent_table(raw, d, ["raw_id"]).collect()}
+    assert (out[0].n, out[1].n, out[0].m, out[0].h, out[2].f, out[2].d) == (str(big), "1.5", 1.0, str(huge), fine, "9" * 5000)
+    assert (out[0].l, out[1].l) == ("[1, 2.5]", '[{"a": null, "b": 1}]')
+
+
 def test_drift_consistent_table(spark):
     raw = _raw(spark, _snapshots())
     out = drift.consistent_table(raw, drift.Drift(raw), ["raw_id", "file_name"])

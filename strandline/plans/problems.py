@@ -152,6 +152,15 @@ SELECT e.relation, e.node,
   CASE WHEN again IS NULL THEN array_to_string(path, ' > ') ELSE '' END AS path,
   coalesce(b.n, 0)::BIGINT AS n_below
 FROM ends e LEFT JOIN below b ON b.relation = e.relation AND b.node = e.node""",
+    "p4_descendants": _FOREST
+    + """,
+rings AS (SELECT a.relation, a.node FROM anc a JOIN up u ON u.relation = a.relation AND u.child = a.cur AND u.parent = a.node),
+tree AS (SELECT * FROM up ANTI JOIN rings ON rings.relation = up.relation AND rings.node = up.child),
+d AS (
+  SELECT relation, parent AS ancestor, child AS node, 1::BIGINT AS distance FROM tree
+  UNION ALL
+  SELECT d.relation, t.parent, d.node, d.distance + 1 FROM d JOIN tree t ON t.relation = d.relation AND t.child = d.ancestor)
+SELECT relation, ancestor, node, distance FROM d""",
     "p5_found": """
 WITH l AS (SELECT DISTINCT * FROM snapshot_left), r AS (SELECT DISTINCT * FROM snapshot_right),
 j AS (SELECT l.project_id IS NOT NULL OR l.id IS NOT NULL AS inl, r.project_id IS NOT NULL OR r.id IS NOT NULL AS inr,

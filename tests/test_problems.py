@@ -254,18 +254,35 @@ def _expected(links):
     return out
 
 
-def test_hierarchy_against_walking(spark):
+def _some_links():
     rnd = random.Random(11)
     links = [("root", f"c{i}") for i in range(150)] + [(f"d{i}", f"d{i + 1}") for i in range(70)]
-    links += [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r2", "t1"), ("t1", "t2"), ("self", "self"), ("self", "u"), ("lonely", None)]
-    links += [(f"e{rnd.randrange(i)}", f"e{i}") for i in range(1, 120)]
+    links += [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r2", "t1"), ("t1", "t2"), ("self", "self"), ("self", "u"), ("lonely", None), ("x", "y"), ("y", "x")]
+    links += [(f"q{i}", f"q{(i + 1) % 7}") for i in range(7)]
+    return links + [(f"e{rnd.randrange(i)}", f"e{i}") for i in range(1, 120)]
+
+
+@pytest.mark.parametrize(("in_one_task", "bucket", "at_once"), [(1 << 20, 1 << 16, 1 << 22), (4, 8, 200), (100, 64, 1 << 22)])
+def test_hierarchy_against_walking(spark, monkeypatch, in_one_task, bucket, at_once):
+    for name, value in (("IN_ONE_TASK", in_one_task), ("BUCKET", bucket), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(hierarchy, name, value)
+    links = _some_links()
     df = spark.createDataFrame([("x", p, c) for p, c in links], "relation string, parent string, child string")
     forest = hierarchy.Forest(df)
-    got = {r.node: (r.root, r.depth, r.path, r.n_below) for r in forest.table().collect()}
-    assert got == _expected(links)
-    below = forest.descendants()
-    assert below.where("ancestor = 'd0'").count() == 70
-    assert below.where("ancestor = 'd0' AND node = 'd70'").first().distance == 70
+    rows = forest.table().collect()
+    assert len(rows) == len({r.node for r in rows})
+    assert {r.node: (r.root, r.depth, r.path, r.n_below) for r in rows} == _expected(links)
+    parent = {c: p for p, c in links if c is not None}
+    on_ring = {n for n, x in _expected(links).items() if x[1] == -1}
+    want = set()
+    for n in parent:
+        x, d = n, 0
+        while x in parent and x not in on_ring:
+            x, d = parent[x], d + 1
+            want.add((x, n, d))
+    below = [(r.ancestor, r.node, r.distance) for r in forest.descendants().collect()]
+    assert len(below) == len(want)
+    assert set(below) == want
 
 
 def test_clean_links_and_empty_input(spark):

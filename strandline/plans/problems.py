@@ -1,11 +1,11 @@
-"""Queries p1 to p5: the general record problems over the lineage tables, each over whole tables."""
+"""Queries p1, p3, p4 and p5: the general record problems over the lineage tables, each over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import diff, drift, fingerprint, hierarchy, unpack
+from strandline.operators import diff, drift, hierarchy, unpack
 
 SNAPSHOT_KEYS = ["project_id", "id"]
 SNAPSHOT_FIELDS = ["type", "role", "cluster_id", "code", "level", "size_bytes", "mtime"]
@@ -41,41 +41,6 @@ def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(c.values()) for c in rows], "name string, fields array<string>, types array<string>, widened boolean, type string")
 
 
-# 2: copies hidden by formatting
-
-
-def _event_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], list[str]]:
-    paths = F.transform("normalized_paths", fingerprint.words)
-    rows = table(spark, sf_dir, "parsed_events").where("raw_path IS NOT NULL")
-    rows = rows.select("event_id", "script", "line", "command", "is_write", fingerprint.words(F.col("raw_path")).alias("raw"), paths.alias("paths"))
-    scalars = ["script", "line", "command", "is_write", "raw"]
-    return rows.withColumn("fp", fingerprint.fingerprint({c: F.col(c) for c in scalars}, {"paths": F.col("paths")})), scalars, ["paths"]
-
-
-def _node_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], list[str]]:
-    rows = table(spark, sf_dir, "nodes").where("path IS NOT NULL")
-    rows = rows.select("node_row_id", "project_id", "node_type", fingerprint.words(F.col("path")).alias("path"))
-    scalars = ["project_id", "node_type", "path"]
-    return rows.withColumn("fp", fingerprint.fingerprint({c: F.col(c) for c in scalars}, {})), scalars, []
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fingerprint.copies(*_with_id(_event_records(spark, sf_dir), "event_id"))
-    nodes = fingerprint.copies(*_with_id(_node_records(spark, sf_dir), "node_row_id"))
-    return events.select(F.lit("parsed_events").alias("relation"), "*").unionByName(nodes.select(F.lit("nodes").alias("relation"), "*"))
-
-
-def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record once, with the number of its copies."""
-    events = fingerprint.collapsed(*_with_id(_event_records(spark, sf_dir), "event_id"))
-    nodes = fingerprint.collapsed(*_with_id(_node_records(spark, sf_dir), "node_row_id"))
-    return events.select(F.lit("parsed_events").alias("relation"), "*").unionByName(nodes.select(F.lit("nodes").alias("relation"), "*"))
-
-
-def _with_id(records: tuple[DataFrame, list[str], list[str]], id_col: str) -> tuple[DataFrame, str, list[str], list[str]]:
-    return records[0], id_col, records[1], records[2]
-
-
 # 3: several values in one field
 
 
@@ -107,21 +72,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.differences(table(spark, sf_dir, "snapshot_left"), table(spark, sf_dir, "snapshot_right"), SNAPSHOT_KEYS, SNAPSHOT_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p1_columns, p2_found, p2_records, p3_found, p4_found, p4_descendants, p5_found)}
-
-_WORDS = r"trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-
-_RECORDS = f"""
-WITH e AS (
-  SELECT event_id AS id, script, line, command, is_write, {_WORDS.format("raw_path")} AS raw,
-    list_sort(list_transform(coalesce(normalized_paths, []), lambda x: {_WORDS.format("x")})) AS paths
-  FROM parsed_events WHERE raw_path IS NOT NULL),
-n AS (SELECT node_row_id AS id, project_id, node_type, {_WORDS.format("path")} AS path FROM nodes WHERE path IS NOT NULL),
-r AS (
-  SELECT 'parsed_events' AS relation, id, min(id) OVER w AS first_id FROM e WINDOW w AS (PARTITION BY script, line, command, is_write, raw, paths)
-  UNION ALL
-  SELECT 'nodes', id, min(id) OVER w FROM n WINDOW w AS (PARTITION BY project_id, node_type, path))
-"""
+QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p1_columns, p3_found, p4_found, p4_descendants, p5_found)}
 
 _FOREST = r"""
 WITH RECURSIVE raw AS (
@@ -139,8 +90,6 @@ anc AS (
 """
 
 SQL = {
-    "p2_found": _RECORDS + "SELECT relation, first_id, id AS copy_id FROM r WHERE first_id < id",
-    "p2_records": _RECORDS + "SELECT relation, first_id, count(*) AS n_copies FROM r GROUP BY ALL",
     "p4_found": _FOREST
     + """,
 ends AS (SELECT a.*, u.parent AS again FROM anc a LEFT JOIN up u ON u.relation = a.relation AND u.child = a.cur

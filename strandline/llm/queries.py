@@ -91,7 +91,17 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable.forms(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_packed, p7_joint, p7_unused, p8_found, p8_forms)}
+def p8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every text that mix scripts, and those of one script that are spelled in another in the consistent form."""
+    return confusable.tokens(_table(spark, sf_dir, "documents"))
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that look like one with another text, each once, with its class and number of links."""
+    return confusable.classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_packed, p7_joint, p7_unused, p8_found, p8_forms, p8_tokens, p8_classes)}
 
 _WORDS = r"trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 

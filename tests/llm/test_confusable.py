@@ -1,6 +1,9 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from strandline.llm.confusable import forms, one_form, same_looking
+from strandline.llm.confusable import alike, classes, confusables, forms, one_form, same_looking, tokens
 
 SAME = [
     ("Tһе pаrԛuеt fіӏе", "The parquet file"),
@@ -12,8 +15,20 @@ SAME = [
     ("ｶﾞ", "ガ"),
     ("й", "й"),
     ("роst", "post"),
+    # Greek, variants and phonetic letters, Armenian, Cherokee, Lisu, Coptic, Roman numbers, mathematical letters, units
+    ("αρυ", "apu"),
+    ("µm", "μm"),
+    ("ɑı", "ai"),
+    ("ո", "n"),
+    ("ᎪꓐⲞ", "ABO"),
+    ("ⅼ Ⅷ", "l VIII"),
+    ("𝐀𝑏", "Ab"),
+    ("㎏", "kg"),
+    ("口", "ロ"),
+    ("Ӏ", "I"),
+    ("ѵԝһ", "vwh"),
 ]
-DIFFERENT = [("a", "A"), ("é", "e"), ("1", "l"), ("0", "O"), ("a b", "a\nb"), ("a-b", "a_b"), ("½", "1/2"), ("œ", "oe"), ("a b", "a  b"), ("ж", "x"), ("…", "..."), ("²", "2"), ("👩‍💻", "👩💻"), ("\r\n", "\n")]
+DIFFERENT = [("a", "A"), ("é", "e"), ("1", "l"), ("0", "O"), ("a b", "a\nb"), ("a-b", "a_b"), ("½", "1/2"), ("œ", "oe"), ("a b", "a  b"), ("ж", "x"), ("…", "..."), ("²", "2"), ("👩‍💻", "👩💻"), ("\r\n", "\n"), ("г", "r"), ("σ", "o"), ("ß", "ss"), ("I", "l"), ("З", "3"), ("’", "'"), ("rn", "m"), ("ш", "щ"), ("ハ", "バ"), ("к", "k")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -34,6 +49,44 @@ def test_words_are_spelled_in_one_script():
     assert one_form("лес а рост") == "лес а рост"
 
 
+def test_japanese_words_keep_their_letters():
+    for text in ("エラーをサーバーへ送信する", "入口と人口、工場のデータ", "xlsxに関するデータ", "データxlsx"):
+        assert one_form(text) == text
+    assert one_form("デー夕") == one_form("データ") == "データ"
+
+
+def test_form_leads_back_to_the_skeleton(spark, sf_dir):
+    a = alike()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").collect():
+        form = a.form(r.text)
+        assert a.form(form) == form
+        assert a.skeleton(form) == a.skeleton(r.text)
+
+
+def test_table_is_the_public_one():
+    table = confusables()
+    assert len(table) > 6000
+    assert (table["а"], table["Α"], table["ﬁ"], table["m"]) == ("a", "A", "fi", "rn")
+
+
+def test_suspicious_words(spark):
+    docs = [(1, "рrојесt рrојесt, а project"), (2, "Москва сора"), (3, "xlsxに関するメモ naïve"), (4, None), (5, "plain"), (6, "буква а и csv")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("token", F.lit(1))
+    got = {(r.doc_id, r.token, r.kind, tuple(r.scripts), r.form, r.n) for r in tokens(df.drop("token")).collect()}
+    assert got == {(1, "рrојесt", "mixed", ("Cyrillic", "Latin"), "project", 2), (1, "а", "whole", ("Cyrillic",), "a", 1)}
+
+
+def test_classes_say_what_pairs_say(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1, "copa"), (-2, "сора"), (-3, "copa"), (-4, "copа")], "doc_id long, text string")
+    docs = docs.unionByName(more)
+    rows = classes(docs).collect()
+    links = Counter(x for r in same_looking(docs).collect() for x in (r.a, r.b))
+    assert {r.doc_id: r.n_links for r in rows} == links
+    assert {(r.doc_id, r.class_id, r.text_id, r.n_links) for r in rows if r.doc_id < 0} == {(-1, -4, -3, 2), (-2, -4, -2, 3), (-3, -4, -3, 2), (-4, -4, -4, 3)}
+    assert classes(docs.limit(0)).collect() == []
+
+
 def test_pairs(spark):
     docs = [(1, "copa"), (2, "сора"), (3, "copa"), (4, "Copa"), (5, None), (6, ""), (7, "​"), (8, " "), (9, "copa​"), (10, "other")]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -1,30 +1,29 @@
 """Filling containers of fixed capacity (problem 7).
 
 Sizes are whole numbers up to the capacity, so the sizes of all items are a histogram of at most ``capacity`` counts however many items
-there are. The histogram is packed on the driver by best fit in decreasing order, whole groups of equal containers at a time; which container
-sizes are opened is decided by trying each permitted preference on the histogram and taking the cheapest outcome, and at last every container
-is downsized to the least permitted capacity that holds its contents. Items then find their container by their number among the items of
-their size. All data stay distributed; what is broadcast grows with the capacity, not with the data.
+there are. The histogram is packed on the driver by best fit in decreasing order, whole groups of equal containers at a time. When no open
+container has room, the permitted size is opened that costs least for each unit that the items still to come can fill of it; at last every
+container is downsized to the least permitted capacity that holds its contents. Items then find their container by their number among the
+items of their size. All data stay distributed; what is broadcast grows with the capacity, not with the data.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.materialize import cut
+from strandline.operators.spread import numbered
 
 #: The largest capacity: a bound of the histogram and so of what the driver holds.
 LARGEST_CAPACITY = 1 << 20
-#: Items of one size are numbered in so many parts, so that a size that a third of all items have is no single task.
-PARTS = 256
 
 
 @dataclass
@@ -40,8 +39,11 @@ class Group:
         return sum(s * k for s, k in self.contents)
 
 
-def best_fit(histogram: dict[int, int], opened: dict[int, int]) -> list[Group]:
-    """Best fit in decreasing order of size. histogram: size to count; opened: size to the capacity of the container that is opened for it."""
+def best_fit(histogram: dict[int, int], opened: Callable[[int, int], tuple[int, int]]) -> list[Group]:
+    """Best fit in decreasing order of size. histogram: size to count.
+
+    opened: for a size and how many of it find no room, the capacity that is opened and in how many containers at most before it is asked again.
+    """
     room: dict[int, list[Group]] = {}
     free: list[int] = []  # the rooms that exist, in order
     done: list[Group] = []
@@ -61,14 +63,17 @@ def best_fit(histogram: dict[int, int], opened: dict[int, int]) -> list[Group]:
         while n:
             at = bisect_left(free, size)
             if at == len(free):
-                cap = opened[size]
+                cap, most = opened(size, n)
                 each = cap // size
-                full, rest = divmod(n, each)
+                full = min(n // each, most)
+                rest = n - full * each if full < most else 0
                 if full:
                     put(Group(full, ((size, each),), cap))
-                if rest:
+                if 0 < rest < each:
                     put(Group(1, ((size, rest),), cap))
-                break
+                    n -= rest
+                n -= full * each
+                continue
             left = free[at]
             g = room[left].pop()
             if not room[left]:
@@ -89,25 +94,53 @@ def best_fit(histogram: dict[int, int], opened: dict[int, int]) -> list[Group]:
     return done + [g for left in free for g in room[left]]
 
 
+class _Cheapest:
+    """Chooses what is opened: the capacity of the least cost for each unit that the items to come fill of it, largest items first."""
+
+    def __init__(self, histogram: dict[int, int], cost: dict[int, float]):
+        self.left, self.cost = dict(histogram), cost
+        self.sizes = sorted(histogram)
+
+    def _filled(self, size: int, n: int, cap: int) -> tuple[int, list[tuple[int, int]]]:
+        """How much of a container is filled that begins with size, of which n are left, and by what."""
+        room, at = cap, bisect_right(self.sizes, size) - 1
+        content = []
+        while room and at >= 0:
+            s = self.sizes[at]
+            if s <= room and (k := min(room // s, n if s == size else self.left[s])) > 0:
+                content.append((s, k))
+                room -= s * k
+            at = min(at, bisect_right(self.sizes, room)) - 1
+        return cap - room, content
+
+    def __call__(self, size: int, n: int) -> tuple[int, int]:
+        # larger sizes are all placed; what is left of this one is known
+        self.left[size] = n
+        options = [(self.cost[cap] / used, -used, cap, content) for cap in self.cost if cap >= size for used, content in [self._filled(size, n, cap)]]
+        _, _, cap, content = min(options, key=lambda o: o[:3])
+        times = max(1, min(self.left[s] // k for s, k in content))
+        for s, k in content:
+            self.left[s] = max(0, self.left[s] - k * times)
+        return cap, times
+
+
 def plan(histogram: dict[int, int], capacities: list[int], costs: list[float] | None = None) -> list[Group]:
-    """The cheapest of the packings that open containers with each capacity preferred; then each container in the cheapest capacity that holds it.
+    """A packing in containers of the permitted capacities, opened as they pay and downsized at last; each in the cheapest capacity that holds it.
 
-    A capacity costs its own size unless costs says otherwise.
+    A capacity costs its own size unless costs says otherwise. Where always opening one and the same capacity turns out cheaper, that is taken.
     """
     capacities = sorted(capacities)
     cost = dict(zip(capacities, costs or capacities))
     fitting = lambda used: min((c for c in capacities if c >= used), key=lambda c: (cost[c], c))
+    always = lambda cap: lambda size, n: (cap if size <= cap else fitting(size), 1 << 62)
     best: tuple[float, list[Group]] | None = None
-    for preferred in [*capacities, 0]:
-        opened = {s: preferred if s <= preferred else fitting(s) for s in histogram}
+    for opened in [*([_Cheapest(histogram, cost)] if len(capacities) > 1 else []), *map(always, capacities)]:
         groups = best_fit(histogram, opened)
         for g in groups:
             g.capacity = fitting(g.used)
         total = sum(g.n * cost[g.capacity] for g in groups)
         if best is None or total < best[0]:
             best = (total, groups)
-        if len(capacities) == 1:
-            break
     return best[1] if best else []
 
 
@@ -128,19 +161,14 @@ def pack(items: DataFrame, limits: list[tuple[int, list[int]]], id_col: str = "d
     )
     start = F.col("k") * F.col("cap")
     pieces = pieces.select("limit_id", "id", (F.col("k") + 1).alias("piece"), start.alias("start"), F.least(F.col("n") - start, "cap").alias("size"))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
-    counts = cut(pieces.groupBy("limit_id", "size", "part").agg(F.count("*").alias("n")), "counts")
     histograms: dict[int, dict[int, int]] = {}
-    for r in counts.groupBy("limit_id", "size").agg(F.sum("n").alias("n")).collect():  # at most as many rows as capacities add up to
+    for r in pieces.groupBy("limit_id", "size").agg(F.count("*").alias("n")).collect():  # at most as many rows as capacities add up to
         histograms.setdefault(r.limit_id, {})[r["size"]] = r.n
     lookup = _Lookup({i: plan(histograms[i], caps) for i, caps in limits if i in histograms}, [i for i, _ in limits])
-    # the number of an item among those of its size: what earlier parts hold, and its place in its own
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("limit_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("limit_id", "size", "part", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("limit_id", "size", "part").orderBy("id", "piece")) - 1
-    numbered = pieces.withColumn("i", place).join(offsets, ["limit_id", "size", "part"])
-    numbered = numbered.select("limit_id", "id", "piece", "start", "size", (F.col("i") + F.col("before")).alias("i"))
-    fields = {f.name: f for f in numbered.schema.fields}
+    # the number of an item among those of its size, which may be any share of all
+    placed = numbered(pieces, ["limit_id", "size"], [F.col("id").asc(), F.col("piece").asc()], "i")
+    placed = placed.select("limit_id", "id", "piece", "start", "size", (F.col("i") - 1).alias("i"))
+    fields = {f.name: f for f in placed.schema.fields}
     schema = T.StructType([fields["limit_id"], T.StructField("container", T.LongType()), T.StructField("capacity", T.LongType()), fields["id"], fields["piece"], fields["start"], fields["size"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +177,7 @@ def pack(items: DataFrame, limits: list[tuple[int, list[int]]], id_col: str = "d
             container, capacity = lookup.find(*(col[c].to_numpy(zero_copy_only=False) for c in ("limit_id", "size", "i")))
             yield pa.RecordBatch.from_arrays([col["limit_id"], pa.array(container), pa.array(capacity), col["id"], col["piece"], col["start"], col["size"]], schema.names)
 
-    return numbered.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "size": size_col})
+    return placed.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "size": size_col})
 
 
 class _Lookup:

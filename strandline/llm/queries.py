@@ -79,6 +79,12 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.groupBy("limit_id").agg(F.count("*").alias("n_containers"), F.sum("capacity").alias("space"), F.sum("used").alias("used"))
 
 
+def p7_joint_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity of that one packing: containers, their space, and what of it is used."""
+    boxes = _packed(spark, sf_dir, joint=True).groupBy("container", "capacity").agg(F.sum("n_tokens").alias("used"))
+    return boxes.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("capacity").alias("space"), F.sum("used").alias("used"))
+
+
 # 8: look-alikes
 
 
@@ -101,7 +107,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable.classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_packed, p7_joint, p7_unused, p8_found, p8_forms, p8_tokens, p8_classes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_packed, p7_joint, p7_unused, p7_joint_unused, p8_found, p8_forms, p8_tokens, p8_classes)}
 
 _WORDS = r"trim(regexp_replace(replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 

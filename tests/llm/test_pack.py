@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm.pack import best_fit, pack, plan
 
@@ -49,7 +50,30 @@ def test_joint_capacities_cost_no_more_than_any_alone():
     joint = plan(histogram, [512, 1024, 2048])
     assert Counter({s: c for s, c in histogram.items()}) == sum((Counter({s: k * g.n for s, k in g.contents}) for g in joint), Counter())
     assert all(g.used <= g.capacity for g in joint)
-    assert cost(joint) <= cost(plan(histogram, [2048]))
+    assert all(cost(joint) <= cost(plan(histogram, [c])) for c in (2048,))
+    # what is filled is nearly all that is opened
+    assert cost(joint) <= sum(s * n for s, n in histogram.items()) * 1.01
+
+
+def test_each_opening_takes_the_capacity_that_pays():
+    # 700 fills a 700, two of 500 fill a 1000; either alone is worse
+    histogram = {700: 10, 500: 20, 300: 5}
+    groups = plan(histogram, [700, 1000])
+    assert sum(g.n * g.capacity for g in groups) == 700 * 5 + 1000 * 10 + 1000 * 5
+    # a dear small container isn't opened, however well it fills
+    assert {g.capacity for g in plan({700: 10}, [700, 1000], [2000, 1000])} == {1000}
+
+
+def test_a_hot_size_is_numbered_across_partitions(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(7).alias("n_tokens"))
+    rows = pack(df, [(0, [8, 64, 512])]).collect()
+    assert Counter(Counter(r.container for r in rows).values())[1] <= 1
+    used = Counter()
+    for r in rows:
+        used[r.container] += r.n_tokens
+    cap = {r.container: r.capacity for r in rows}
+    assert all(u <= cap[c] for c, u in used.items())
+    assert sum(cap.values()) <= 140_000 * 1.016
 
 
 def test_best_fit_equals_one_by_one():
@@ -63,7 +87,7 @@ def test_best_fit_equals_one_by_one():
                 left[min(fits, key=lambda i: left[i])] -= s
             else:
                 left.append(30 - s)
-        got = best_fit(Counter(sizes), dict.fromkeys(sizes, 30))
+        got = best_fit(Counter(sizes), lambda size, n: (30, 2))
         assert sum(g.n for g in got) == len(left)
         assert sorted(r for g in got for r in [g.capacity - g.used] * g.n) == sorted(left)
 

@@ -21,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--view")
     p.add_argument("--format", default=None, help="svg, png or pdf of images; json, csv or text of sections")
     p.add_argument("--mode", choices=["auto", "resolved"], default="resolved", help="clusters without or with the manual ones")
-    p.add_argument("--master", default="local[*]")
+    p.add_argument("--master", default="local[*]", help="as Spark spells it; on a cluster spark.checkpoint.dir must name a shared folder (--conf)")
+    p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE", help="a setting of the session")
     return p
 
 
@@ -39,11 +40,24 @@ def main(argv: list[str] | None = None) -> int:
     config = _config(a)
     from pyspark.sql import SparkSession
 
+    from strandline.materialize import scratch
+    from strandline.session import local_session, session, ship
+
+    settings = dict(c.split("=", 1) for c in a.conf)
+    if active := SparkSession.getActiveSession():
+        spark = ship(active)
+    elif a.master.startswith("local[") and not settings:
+        spark = local_session(a.master[len("local[") : -1])
+    else:
+        spark = session(a.master, **settings)
+    with scratch(spark):
+        return _run(a, config, spark)
+
+
+def _run(a: argparse.Namespace, config: Config, spark) -> int:
     from strandline.plans import pipeline
     from strandline.sinks import text
-    from strandline.session import local_session
 
-    spark = SparkSession.getActiveSession() or local_session(a.master.removeprefix("local[").removesuffix("]"))
     root = config.project_root
     if a.command == "extract-sections":
         return _give(text.section_index(pipeline.script_sections(spark, root, config), a.format or "json"), a.output)

@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from strandline.materialize import cut
 
-#: The most members that one list names; a larger group is listed in several parts.
+#: How many members a list shows. ``membership`` has all.
 LISTED = 1_000
 
 
-def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") -> DataFrame:
-    """(keys, n, n_rows, part, members): the different members of each group, sorted and joined by ' | '. n counts different members, n_rows all rows; ``where`` says which groups are listed.
+def membership(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") -> DataFrame:
+    """(keys, member, n_rows): each different member of each group, with the number of its rows; ``where`` says which groups, by n (different members) and n_rows (all rows).
 
-    Groups are counted first, by partial aggregation. One of more than LISTED members comes in several parts (from 0), each of about that
-    many; smaller ones have part 0 only. NULL keys make a group; NULL members don't count.
+    NULL keys make a group; NULL members don't count. A row for each member, however large a group is.
     """
+    each, sizes, on = _groups(df, keys, member, where)
+    return each.join(sizes, on, "left_semi").select(*keys, member, F.col("_rows").alias("n_rows"))
+
+
+def _groups(df: DataFrame, keys: list[str], member: str, where: str) -> tuple[DataFrame, DataFrame, Column]:
     each = df.where(F.col(member).isNotNull()).groupBy(*keys, member).agg(F.count("*").alias("_rows"))
     sizes = each.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.count("*").alias("n"), F.sum("_rows").alias("n_rows")).where(where)
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    rows = each.join(sizes, on).select(*keys, "n", "n_rows", member, F.pmod(F.xxhash64(member), F.ceil(F.col("n") / LISTED)).cast("int").alias("part"))
-    out = rows.groupBy(*keys, "n", "n_rows", "part").agg(F.array_join(F.sort_array(F.collect_list(member)), " | ").alias("members"))
-    return out.select(*keys, "n", "n_rows", "part", "members")
+    return each, sizes, on
+
+
+def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") -> DataFrame:
+    """(keys, n, n_rows, members): one row for each group. n counts its different members, n_rows all rows; members are the first LISTED of them in order, joined by ' | '.
+
+    ``where`` says which groups; NULL keys make a group, NULL members don't count. Groups are counted by partial aggregation, and the rank limit
+    keeps LISTED members of a group before the shuffle as well, so a group of any size costs no task more than that. ``membership`` has the rest.
+    """
+    each, sizes, on = _groups(df, keys, member, where)
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).where(F.col("_r") <= LISTED)
+    lists = first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(member)), " | ").alias("members"))
+    return lists.join(sizes, on).select(*keys, "n", "n_rows", "members")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, previous: dict[str, Column] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from strandline.config import ARTIFACT_ROLES, TERMINAL_SUFFIXES
 from strandline.functions import paths
 from strandline.operators import graph
 from strandline.operators.assemble import diagnostic
-from strandline.operators.spread import listed
+from strandline.operators.spread import listed, membership
 
 SCRIPT = r"\.(do|py|r|R)$"
 
@@ -31,9 +31,15 @@ def consumed(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def multiple_writers(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by, path, n_writes, part, scripts): targets with more than one writing edge; scripts are distinct, sorted, joined, in several parts where there are very many."""
+    """(by, path, n_writes, scripts): targets with more than one writing edge; scripts are distinct, sorted, joined, the first of very many (writers has all)."""
     e = edges.where(ends_in_script(F.col("source")) & ~ends_in_script(F.col("target"))).select(*by, F.col("target").alias("path"), "source")
-    return listed(e, [*by, "path"], "source", "n_rows > 1").select(*by, "path", F.col("n_rows").alias("n_writes"), "part", F.col("members").alias("scripts"))
+    return listed(e, [*by, "path"], "source", "n_rows > 1").select(*by, "path", F.col("n_rows").alias("n_writes"), F.col("members").alias("scripts"))
+
+
+def writers(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, path, source, n_writes): every script that writes a target of more than one writing edge."""
+    e = edges.where(ends_in_script(F.col("source")) & ~ends_in_script(F.col("target"))).select(*by, F.col("target").alias("path"), "source")
+    return membership(e, [*by, "path"], "source", "n_rows > 1").withColumnRenamed("n_rows", "n_writes")
 
 
 def unconsumed_output(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -68,11 +74,17 @@ def unknown_roles(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ambiguous_names(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, node_type, name, n_paths, part, paths): names that several nodes of a type have; very many paths come in several parts."""
+    """(by, node_type, name, n_paths, paths): names that several nodes of a type have; the first of very many paths (same_name has all)."""
     n = nodes.select(*by, "node_type", "node_id", paths.basename(F.col("node_id")).alias("name"))
     return listed(n, [*by, "node_type", "name"], "node_id").drop("n_rows").withColumnsRenamed({"n": "n_paths", "members": "paths"})
 
 
+def same_name(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node_type, name, node_id): every node whose name another node of its type has."""
+    n = nodes.select(*by, "node_type", "node_id", paths.basename(F.col("node_id")).alias("name"))
+    return membership(n, [*by, "node_type", "name"], "node_id").drop("n_rows")
+
+
 def missing_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
     """(by, path, node_type) of relative paths that files (by, path) doesn't have; artifacts that are only written are left out."""
     written = degrees(edges, by).where("n_in > 0 AND n_out = 0").select(*by, "node_id").withColumn("_w", F.lit(True))

@@ -17,7 +17,7 @@ def members(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def families(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, family, members, n_members, part) of families with more than one member; very many members come in several parts."""
+    """(by, family, members, n_members) of families with more than one member; the first of very many members (``members`` has all)."""
     return listed(members(nodes, by), [*by, "family"], "member").drop("n_rows").withColumnRenamed("n", "n_members")
 
 

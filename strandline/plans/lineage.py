@@ -398,7 +398,7 @@ def _files(spark, sf):
     return s.groupBy("project_id", F.col("id").alias("path")).agg(F.max("mtime").alias("mtime"))
 
 
-@query(f"WITH {_MEMBERS} SELECT project_id, family, string_agg(member, ' | ' ORDER BY member) AS members, count(*) AS n_members, 0::INTEGER AS part FROM m GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_MEMBERS} SELECT project_id, family, array_to_string(list_sort(list(member))[1:1000], ' | ') AS members, count(*) AS n_members FROM m GROUP BY ALL HAVING count(*) > 1")
 def h01_families(spark, sf):
     return versions.families(nodes(spark, sf), BY)
 
@@ -569,7 +569,7 @@ def _writers(spark, sf):
     return validate.multiple_writers(edges(spark, sf), BY)
 
 
-@query(f"SELECT project_id, target AS path, count(*) AS n_writes, 0::INTEGER AS part, string_agg(DISTINCT source, ' | ' ORDER BY source) AS scripts FROM edges WHERE {_SCRIPT.format('source')} AND NOT {_SCRIPT.format('target')} GROUP BY ALL HAVING count(*) > 1")
+@query(f"SELECT project_id, target AS path, count(*) AS n_writes, array_to_string(list_sort(list(DISTINCT source))[1:1000], ' | ') AS scripts FROM edges WHERE {_SCRIPT.format('source')} AND NOT {_SCRIPT.format('target')} GROUP BY ALL HAVING count(*) > 1")
 def m02_multiple_writers(spark, sf):
     return _writers(spark, sf)
 
@@ -599,7 +599,7 @@ def m06_unknown_roles(spark, sf):
     return validate.unknown_roles(table(spark, sf, "nodes"), BY)
 
 
-@query(f"SELECT project_id, node_type, {_BASE.format('node_id')} AS name, count(*) AS n_paths, 0::INTEGER AS part, string_agg(node_id, ' | ' ORDER BY node_id) AS paths FROM (SELECT DISTINCT project_id, node_type, node_id FROM nodes WHERE node_id IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
+@query(f"SELECT project_id, node_type, {_BASE.format('node_id')} AS name, count(*) AS n_paths, array_to_string(list_sort(list(node_id))[1:1000], ' | ') AS paths FROM (SELECT DISTINCT project_id, node_type, node_id FROM nodes WHERE node_id IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
 def m07_ambiguous_names(spark, sf):
     return validate.ambiguous_names(table(spark, sf, "nodes").where("node_id IS NOT NULL"), BY)
 

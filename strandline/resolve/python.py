@@ -22,6 +22,10 @@ _WRITES = {f"np.{c[3:]}": (c, 0) for c in ("np_save", "np_savetxt", "np_savez",
 #: Methods that write to their first argument.
 _METHODS = {c: c for c in _CALLS if c.startswith("to_")} | {"savefig": "savefig", "save": "save_method"}
 _WRAPPED = {"pickle.dump": "pickle_dump", "json.dump": "json_dump"}
+# What makes a path that stands in an f-string one that is written.
+DRAWN = (".png", ".pdf", ".svg", ".eps", ".tex")
+WRITING_METHODS = {"to_csv", "to_parquet", "to_excel", "to_json", "to_feather", "to_hdf", "to_pickle", "to_orc", "to_stata", "savefig", "save"}
+DUMPS = {"pickle.dump", "json.dump", "joblib.dump"}
 #: How many lines after a directory scan an .endswith() still says which files are meant.
 HINT_LINES = 10
 STAR = "*"
@@ -243,14 +247,16 @@ class Reader:
                     if v and "." in v.rsplit("/", 1)[-1]:
                         add(n, "kwarg_write", k.value, True)
         seen = {(e["command"], p) for e in out if e["kind"] == "event" for p in e["normalized_paths"]}
-        # an f-string that looks like a file and that no call took
+        # an f-string that looks like a file and that no call took; it is written if its kind is only drawn, or if something is written on its line
+        writing = {n.lineno for n in ast.walk(self.tree) if isinstance(n, ast.Call) and self.writes(n)}
         for n in ast.walk(self.tree):
             if isinstance(n, ast.JoinedStr) and not {(n.lineno, True), (n.lineno, False)} & taken:
                 v = self.value(n)
                 if v and re.search(r"\.\w{2,7}$", v) and "/" in v and " " not in v:
-                    event = c.event(n.lineno, "fstring_path", ast.unparse(n), [v], "full", None, False)
+                    write = v.lower().endswith(DRAWN) or n.lineno in writing
+                    event = c.event(n.lineno, "fstring_path", ast.unparse(n), [v], "full", None, write)
                     if event and ("fstring_path", event["normalized_paths"][0]) not in seen:
-                        taken.add((n.lineno, False))
+                        taken.add((n.lineno, write))
                         out.append(event)
         for line, module, names in self.imports:
             up = len(module) - len(module.lstrip("."))
@@ -270,6 +276,14 @@ class Reader:
                 out.append(row("global", c, line=e.lineno, name=n, value=v))
         return out
 
+    def writes(self, n: ast.Call) -> bool:
+        """Whether a call writes a file, whatever its path."""
+        name, attr = self.dotted(n.func), n.func.attr if isinstance(n.func, ast.Attribute) else ""
+        if name.rsplit(".", 1)[-1] == "open":
+            modes = [a for a in [*n.args, *(k.value for k in n.keywords if k.arg == "mode")] if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+            return any(re.match(r"[wa]", m.value) for m in modes)
+        return attr in WRITING_METHODS or name in DUMPS
+
     def module_places(self, module: str) -> list[str]:
         """The files that a module's name may mean: below the root, else beside the script; with dots in front only from the script's folder."""
         up = len(module) - len(module.lstrip("."))

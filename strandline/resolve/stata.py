@@ -19,8 +19,6 @@ MACRO = re.compile(r"`([^'`]+)'")
 DOLLAR = re.compile(r"\$\{(\w+)\}|\$(\w+)")
 CONTINUED = re.compile(r"[ \t]*///[^\n]*\n")
 _PATTERNS = [(c.kind, c.command, re.compile(c.regex)) for c in CATALOG if c.language == "stata"]
-#: Passes over names inside values; a name that stands for itself ends there.
-PASSES = 10
 
 
 def words(text: str) -> list[str]:
@@ -48,14 +46,31 @@ class Environment:
         self.locals: dict[str, list[str]] = {"c(pwd)": ["."], "c(current_do_file)": [c.script]}
         self.loops: list[tuple[str, Sequence[str]]] = []
 
-    def expand(self, text: str) -> str:
-        """Globals replaced, whole names only, until nothing changes."""
-        for _ in range(PASSES):
-            new = DOLLAR.sub(lambda m: self.globals.get(m[1] or m[2], m[0]), text)
-            if new == text:
-                break
-            text = new
-        return text
+    def expand(self, text: str, busy: frozenset[str] = frozenset()) -> str:
+        """Globals replaced, whole names only, as deep as they stand in each other; a name within its own value stays."""
+
+        def value(m: re.Match) -> str:
+            name = m[1] or m[2]
+            return self.expand(self.globals[name], busy | {name}) if name in self.globals and name not in busy else m[0]
+
+        return DOLLAR.sub(value, text)
+
+    def texts(self, text: str, env: dict[str, Sequence[str]], busy: frozenset[str] = frozenset()) -> list[str]:
+        """The texts that come of a text's macros, as deep as they stand in each other: all combinations of their values, in order. A name within its own value is unknown there."""
+        names = list(dict.fromkeys(MACRO.findall(text)))
+        if not names:
+            return [text]
+        if any(n not in env or n in busy for n in names):
+            # beside an unknown name only those of one value are known
+            values = {n: [self.texts(self.expand(env[n][0]), env, busy | {n})[0] if n not in busy and len(env.get(n, ())) == 1 else f"{{{n}}}"] for n in names}
+        else:
+            values = {n: [t for v in env[n] for t in (self.texts(self.expand(v), env, busy | {n}) if "`" in v or "$" in v else [v])] for n in names}
+        out = []
+        for each in itertools.product(*values.values()):
+            of = dict(zip(names, each))
+            out.append(self.expand(MACRO.sub(lambda m: of[m[1]], text)))
+        # a name can be put together from others
+        return list(dict.fromkeys(t for x in out for t in (self.texts(x, env, busy | set(names)) if MACRO.search(x) else [x])))
 
     def resolve(self, expression: str) -> tuple[list[str], str, str | None]:
         """The paths an expression stands for, 'full' or 'partial', and the pattern if partial."""
@@ -68,25 +83,7 @@ class Environment:
         first = DOLLAR.sub(single, texts[0])
         if any(len(env.get(a or b, ())) != 1 for a, b in DOLLAR.findall(texts[0])):
             return [first], "partial", first
-        texts = [first]
-        for _ in range(3):
-            out: list[str] = []
-            for t in texts:
-                names = list(dict.fromkeys(MACRO.findall(t)))
-                missing = [n for n in names if n not in env]
-                if missing:
-                    for n in names:
-                        t = t.replace(f"`{n}'", env[n][0] if len(env.get(n, ())) == 1 else f"{{{n}}}")
-                    out.append(t)
-                    continue
-                for values in itertools.product(*(env[n] for n in names)):
-                    new = t
-                    for n, v in zip(names, values):
-                        new = new.replace(f"`{n}'", v)
-                    out.append(self.expand(new))
-            if out == texts:
-                break
-            texts = list(dict.fromkeys(out))
+        texts = self.texts(first, env)
         final = [MACRO.sub(r"{\1}", DOLLAR.sub(lambda m: f"{{{m[1] or m[2]}}}", t)).replace("\\", "/") for t in texts]
         final = list(dict.fromkeys(final))
         partial = any(re.search(r"\{[^{}/]+\}", f) for f in final)

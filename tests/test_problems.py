@@ -273,20 +273,20 @@ def test_differences_of_a_field_called_side(spark):
     assert [tuple(r) for r in diff.differences(a, b, ["id"], ["side"]).collect()] == [(1, "differs", "side")]
 
 
-# whole groups in parts
+# whole groups
 
 
-def test_lists_come_in_parts_and_places_span_partitions(spark, monkeypatch):
+def test_lists_show_the_first_and_places_span_partitions(spark, monkeypatch):
     from strandline.operators import spread
 
     monkeypatch.setattr(spread, "LISTED", 10)
     df = spark.range(101).select(F.when(F.col("id") < 95, F.lit("hot")).otherwise(F.lit(None)).alias("k"), F.format_string("m%03d", "id").alias("m"))
-    got = spread.listed(df, ["k"], "m").collect()
-    for k, n in (("hot", 95), (None, 6)):
-        rows = [r for r in got if r.k == k]
-        assert {r.n for r in rows} == {n}
-        assert len({m for r in rows for m in r.members.split(" | ")}) == n
-        assert len(rows) == len({r.part for r in rows}) <= -(-n // 10)
+    df = df.unionByName(df.limit(3))
+    got = {r.k: r for r in spread.listed(df, ["k"], "m").collect()}
+    assert {k: (r.n, r.n_rows) for k, r in got.items()} == {"hot": (95, 98), None: (6, 6)}
+    assert got["hot"].members.split(" | ") == [f"m{i:03d}" for i in range(10)]
+    assert len(got[None].members.split(" | ")) == 6
+    assert sorted((r.m, r.n_rows) for r in spread.membership(df, ["k"], "m", "n > 10").collect()) == [(f"m{i:03d}", 2 if i < 3 else 1) for i in range(95)]
     rnd = random.Random(8)
     rows = [(rnd.choice("aab"), rnd.random()) for _ in range(500)]
     out = spread.numbered(spark.createDataFrame(rows, "g string, x double").repartition(7), ["g"], [F.col("x")], "i").collect()

@@ -81,21 +81,24 @@ def resolve(scripts: DataFrame, files: DataFrame, root: str, config: Config) ->
     flow = calls.select(F.when(F.col("language") == "python", F.col("child")).otherwise(F.col("script")).alias("parent"), F.when(F.col("language") == "python", F.col("script")).otherwise(F.col("child")).alias("child"))
     flow = cut(flow.where("parent <> child").distinct(), "flow")
     level = cut(graph.levels(base.select(F.col("script").alias("node")), flow), "script-levels")
-    top = level.agg(F.max("level")).first()[0] or 0
+    # as many as the longest chain of calls is long; rings come last
+    later = sorted((r.level for r in level.where("level <> 0").select("level").distinct().collect()), key=lambda k: (k < 0, k))
     known = Cut(first.df.join(level.where("level = 0").select(F.col("node").alias("script")), "script", "left_semi").select(*FIELDS), "level")
     done = [known.df]
     # every value a script passes on: its own, and what it inherited
     own = lambda rows: rows.where("kind = 'global'").groupBy("script", "name").agg(F.max_by("value", "line").alias("value"))
     passing = cut(own(known.df), "passing")
-    for k in [*range(1, top + 1), -1]:
+    for k in later:
         at = level.where(F.col("level") == k).select(F.col("node").alias("script"))
         came = flow.join(passing.withColumnRenamed("script", "parent"), "parent").join(at.withColumnRenamed("script", "child"), "child", "left_semi")
         # a Python script may give a module's value another name, so it gets them by module as well
         of_module = came.where(F.endswith(F.lower("child"), F.lit(".py"))).select(F.col("child").alias("script"), F.concat("parent", F.lit(":"), "name").alias("name"), "value")
         came = cut(came.groupBy(F.col("child").alias("script"), "name").agg(F.max_by("value", "parent").alias("value")), "inherited")
         maps = came.unionByName(of_module).groupBy("script").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("inherited"))
-        again = base.join(at, "script", "left_semi").join(maps, "script", "left").withColumn("inherited", F.coalesce("inherited", empty))
-        rows = cut(parse_scripts(again, root, config), "level")
+        maps = cut(maps, "values")
+        # what inherits nothing has been read already
+        rest = first.df.join(at, "script", "left_semi").join(maps.select("script"), "script", "left_anti").select(*FIELDS)
+        rows = cut(parse_scripts(base.join(maps, "script"), root, config).unionByName(rest), "level")
         done.append(rows)
         mine = own(rows)
         passing = cut(passing.unionByName(mine).unionByName(came.join(mine.select("script", "name"), ["script", "name"], "left_anti")), "passing")

@@ -1,8 +1,8 @@
 """The command catalog: which calls in a script read, write, erase or call, as data.
 
 A row is (language, kind, priority, command, regex); the regex's first filled group is the path. In a line the first matching row of a kind
-counts. The expression that finds it is one chain of conditions, so a line is scanned within code generation and stops at its first match;
-rows are added to CATALOG, or passed along, to teach new commands.
+counts. Lines of a language first meet one alternation of all its rows, and end there unless one of them matches; only what is left is asked
+row by row, and only the row that matched takes the path out. Rows are added to CATALOG, or passed along, to teach new commands.
 """
 
 from __future__ import annotations
@@ -107,8 +107,8 @@ def _build() -> list[Command]:
     add("python", "write", "savefig", rf"\.savefig\s*\(\s*{_PY_PATH}")
     for fn in _NP_WRITES:
         add("python", "write", f"np_{fn}", rf"\b(?:np|numpy)\.{fn}\s*\(\s*{_PY_PATH}")
-    for command in ("pickle_dump", "json_dump"):
-        add("python", "write", command, rf"\b{command.replace('_', '[.]')}\s*\([^,]+,\s*open\s*\(\s*{_PY_PATH}")
+    for command, fn in (("pickle_dump", r"pickle\.dump"), ("json_dump", r"json\.dump")):
+        add("python", "write", command, rf"\b{fn}\s*\([^,]+,\s*open\s*\(\s*{_PY_PATH}")
     add("python", "write", "open_write", rf"\bopen\s*\(\s*{_PY_PATH}\s*,\s*{_PY_WRITE_MODE}")
     add("python", "write", "joblib_dump", rf"\bjoblib\.dump\s*\([^,]+,\s*{_PY_PATH}")
     add("python", "write", "save_method", rf"\.save\s*\(\s*{_PY_PATH}")
@@ -143,26 +143,35 @@ def catalog_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c.language, c.kind, i, c.command, c.regex) for i, c in enumerate(CATALOG)], "language string, kind string, priority int, command string, regex string")
 
 
-def first_match(line: Column, language: str, kind: str, catalog: list[Command] = CATALOG) -> Column:
-    """struct<command, path> of the first catalog row of the kind that matches the line; NULL if none does."""
-    out = F.lit(None).cast("struct<command:string,path:string>")
-    for c in reversed([c for c in catalog if (c.language, c.kind) == (language, kind)]):
-        path = F.coalesce(F.nullif(F.regexp_extract(line, c.regex, 1), F.lit("")), F.regexp_extract(line, c.regex, 2))
-        out = F.when(line.rlike(c.regex), F.struct(F.lit(c.command).alias("command"), path.alias("path"))).otherwise(out)
-    return out
+def _branch(lines: DataFrame, language: Column, rows: list[Command], kinds: tuple[str, ...]) -> DataFrame:
+    """The events of one language."""
+    any_ = "(?i)" + "|".join(f"(?:{c.regex.removeprefix('(?i)')})" for c in rows)
+    some = lines.where(language == rows[0].language).where(F.col("text").rlike(any_))
+    found = []
+    for kind in kinds:
+        of, first = [c for c in rows if c.kind == kind], F.lit(None).cast("struct<kind:string,command:string,regex:string>")
+        for c in reversed(of):
+            first = F.when(F.col("text").rlike(c.regex), F.struct(F.lit(kind).alias("kind"), F.lit(c.command).alias("command"), F.lit(c.regex).alias("regex"))).otherwise(first)
+        if of:
+            found.append(first)
+    each = some.select(*lines.columns, F.explode(F.filter(F.array(*found), lambda m: m.isNotNull())).alias("_m"))
+    group = lambda i: F.call_function("regexp_extract", F.col("text"), F.col("_m.regex"), F.lit(i))
+    path = F.coalesce(F.nullif(group(1), F.lit("")), group(2))
+    return each.select(*lines.columns, "_m.kind", "_m.command", path.alias("raw_path"))
 
 
 def line_events(lines: DataFrame, language: Column, kinds: tuple[str, ...] = ("read", "write", "erase", "call"), catalog: list[Command] = CATALOG) -> DataFrame:
-    """The columns of lines (one of them ``text``) with kind, command and raw_path: the first match of each kind in each line. No shuffle, no Python."""
-    found = []
-    for kind in kinds:
-        by_lang = F.lit(None).cast("struct<command:string,path:string>")
-        for lang in ("stata", "python", "r"):
-            if any((c.language, c.kind) == (lang, kind) for c in catalog):
-                by_lang = F.when(language == lang, first_match(F.col("text"), lang, kind, catalog)).otherwise(by_lang)
-        found.append(F.struct(F.lit(kind).alias("kind"), by_lang.alias("m")))
-    each = lines.withColumn("_f", F.explode(F.array(*found))).where("_f.m IS NOT NULL")
-    return each.select(*lines.columns, "_f.kind", "_f.m.command", F.col("_f.m.path").alias("raw_path"))
+    """The columns of lines (one of them ``text``) with kind, command and raw_path: the first match of each kind in each line. No shuffle, no Python.
+
+    A line that holds no command of its language is dropped by one pattern; NULL texts and unknown languages give nothing.
+    """
+    out = None
+    for lang in dict.fromkeys(c.language for c in catalog):
+        rows = [c for c in catalog if c.language == lang and c.kind in kinds]
+        if rows:
+            of = _branch(lines, language, rows, kinds)
+            out = of if out is None else out.unionByName(of)
+    return out
 
 
 def split_lines(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -256,3 +256,9 @@ def _code_point(c: Column) -> Column:
 def yaml_quote(text: Column) -> Column:
     """Double-quoted, with backslashes and quotes escaped."""
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def csv_line(*values: Column) -> Column:
+    """One CSV line of values; those with commas, quotes or line ends are quoted, NULL is empty."""
+    quoted = lambda v: F.when(v.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(v, F.lit("")))
+    return F.concat_ws(",", *map(quoted, values))

@@ -100,7 +100,6 @@ def c12_path_parts(spark, sf):
 
 @query()
 def c01_normalized(spark, sf):
-    """Folding of dots has no plain SQL; tests compare it with POSIX normalisation."""
     return events(spark, sf).where("raw_path IS NOT NULL").select("event_id", paths.normalize_token(F.col("raw_path")).alias("path"), paths.is_bare_directory(F.col("raw_path")).alias("bare"))
 
 

@@ -32,6 +32,15 @@ def _accesses(edges: DataFrame, scripts: DataFrame, by: list[str]) -> tuple[Data
     return direct, writes, reads
 
 
+def shared_artifacts(edges: DataFrame, scripts: DataFrame, by: list[str]) -> DataFrame:
+    """I02 in linear size: (by, artifact, n_writers, n_readers, n_pairs) of artifacts over which scripts depend on each other; n_pairs counts the dependencies through it, n_writers times n_readers less scripts that do both."""
+    _, writes, reads = _accesses(edges, scripts, by)
+    side = lambda df, script, w, r: df.select(*by, "artifact", F.col(script).alias("script"), F.lit(w).alias("_w"), F.lit(r).alias("_r"))
+    each = side(writes, "source", 1, 0).unionByName(side(reads, "target", 0, 1)).groupBy(*by, "artifact", "script").agg(F.max("_w").alias("_w"), F.max("_r").alias("_r"))
+    n = each.groupBy(*by, "artifact").agg(F.sum("_w").alias("n_writers"), F.sum("_r").alias("n_readers"), F.sum(F.col("_w") * F.col("_r")).alias("_own"))
+    return n.where("n_writers > 0 AND n_readers > 0").select(*by, "artifact", "n_writers", "n_readers", (F.col("n_writers").cast("decimal(38,0)") * F.col("n_readers") - F.col("_own")).cast("bigint").alias("n_pairs"))
+
+
 def folder_links(edges: DataFrame, scripts: DataFrame, by: list[str]) -> DataFrame:
     """(by, a, b): links between the folders of scripts that depend on each other.
 

@@ -20,6 +20,13 @@ def residues(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     return both.groupBy(*cols).agg(F.bit_or("_side").alias("_side"))
 
 
+def repeats(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """(cols, n_left, n_right) of the rows that stand in both copies, but not as often: what EXCEPT ALL in both directions leaves besides the residues. NULL equals only NULL."""
+    count = lambda df, l, r: df.select(*cols, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    both = count(left, 1, 0).unionByName(count(right, 0, 1)).groupBy(*cols).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    return both.where("n_left > 0 AND n_right > 0 AND n_left <> n_right")
+
+
 def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys, kind, field) of each difference: ``left_only``, ``right_only`` with field '', ``differs`` with the field's name.
 

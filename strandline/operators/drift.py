@@ -14,7 +14,7 @@ import json
 import sys
 from collections.abc import Iterator
 from decimal import Decimal
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -203,7 +203,7 @@ class Drift:
         return self.files.select("series", "file", F.explode("fields").alias("f")).select("series", "file", "f.field", lattice_type(F.col("f.bits")).alias("type"), "f.bits")
 
     def _moved_records(self) -> DataFrame:
-        """(rec, body, sides) of the records of files beside which fields both came and went; sides: for which pair p, whether as its later file, and the fields that moved there."""
+        """(rec, body, sides) of the records of files beside which fields both came and went; sides (as JSON, the same for all of a file): for which pair p, whether as its later file, and the fields that moved there."""
         moved = self.files.where("size(gone) > 0 AND size(new) > 0")
         names = lambda c: F.transform(c, lambda x: x["field"])
         later = moved.select("series", "file", F.struct("p", F.lit(True).alias("now"), names("new").alias("fields")).alias("side"))
@@ -211,7 +211,7 @@ class Drift:
         # a file is at most once the later and once the former one
         sides = later.unionByName(former).groupBy(F.col("series").alias("_s"), F.col("file").alias("_f")).agg(F.collect_list("side").alias("sides"))
         on = F.col("series").eqNullSafe(F.col("_s")) & F.col("file").eqNullSafe(F.col("_f"))
-        return cut(self.src.select("series", "file", "rec", "body").join(sides, on).select("rec", "body", "sides"), "moved")
+        return cut(self.src.select("series", "file", "rec", "body").join(sides, on).select("rec", "body", F.to_json("sides").alias("sides")), "moved")
 
     def _aligning(self, moved: DataFrame) -> DataFrame:
         """(p, field, prev_field): by which fields the records of two files are aligned.
@@ -224,9 +224,11 @@ class Drift:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _any_digits()
+            read = lru_cache(10_000)(json.loads)
             for b in batches:
                 seen: dict[tuple, set[str]] = {}
                 for rec, body, sides in zip(*(c.to_pylist() for c in b.columns)):
+                    sides = read(sides)
                     texts = [(_digest(v), k) for k, v in (_record(body) or {}).items() if isinstance(v, str) and not isinstance(v, _Fraction)]
                     for side in sides:
                         for h, k in texts:
@@ -250,21 +252,24 @@ class Drift:
 
     def _said(self, moved: DataFrame) -> DataFrame:
         """(p, node, i, now, said): what the files say of each node in the i-th field that went or came, each once. A node is a text of the aligning field."""
-        one = moved.select("body", F.explode("sides").alias("s")).select("body", "s.*").join(self._aligning(moved), "p")
-        one = one.select("p", "now", "fields", F.when(F.col("now"), F.col("field")).otherwise(F.col("prev_field")).alias("key"), "body")
+        side = F.from_json("sides", "array<struct<p:long,now:boolean,fields:array<string>>>")
+        one = moved.select("body", F.explode(side).alias("s")).select("body", "s.*").join(self._aligning(moved), "p")
+        key = F.when(F.col("now"), F.col("field")).otherwise(F.col("prev_field"))
+        one = one.select(F.to_json(F.struct("p", "now", "fields", key.alias("key"))).alias("side"), "body")
         schema = "p long, node binary, i int, now boolean, said binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _any_digits()
+            read = lru_cache(10_000)(json.loads)
             for b in batches:
                 seen: dict[tuple, None] = {}
-                for p, now, fields, key, body in zip(*(c.to_pylist() for c in b.columns)):
-                    record = _record(body) or {}
-                    name = record.get(key)
+                for side, body in zip(*(c.to_pylist() for c in b.columns)):
+                    side, record = read(side), _record(body) or {}
+                    p, now, name = side["p"], side["now"], record.get(side["key"])
                     if not isinstance(name, str) or isinstance(name, _Fraction):
                         continue
                     node = _digest(name)
-                    for i, f in enumerate(fields):
+                    for i, f in enumerate(side["fields"]):
                         if (v := record.get(f)) is not None:
                             seen[p, node, i, now, _digest(_as_text(v))] = None
                 types = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]

@@ -61,22 +61,26 @@ def levels(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
         state = new
         if same:  # no chain ended, so what is left runs in rings
             break
-    # nodes with several parents wait for the anchors of all of them
+    # nodes with several parents wait for the anchors of all of them; a round looks only at the anchors that the one before made known
     at = state.df.select(F.col("v").alias("parent"), F.when(~F.col("live"), F.col("r")).alias("r"), F.col("d").alias("d"))
-    waiting = Cut(links.join(every.where("n > 1").select(F.col("v").alias("child")), "child").join(at, "parent").select(F.col("child").alias("m"), "r", (F.col("d") + 1).alias("w")), "waiting", "true")
+    unknown = F.lit(None).cast("int").alias("level")
+    waiting = links.join(every.where("n > 1").select(F.col("v").alias("child")), "child").join(at, "parent").select(F.col("child").alias("m"), "r", (F.col("d") + 1).alias("w"), unknown)
     known = [cut(state.df.where("n = 0").select(F.col("v").alias("r"), F.lit(0).alias("level")), "known")]
-    while waiting.counted:
-        so_far = known[0]
-        for k in known[1:]:
-            so_far = so_far.unionByName(k)
-        reached = waiting.df.join(so_far, "r", "left").groupBy("m").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max(F.col("level") + F.col("w")).alias("level"))
+    old = None
+    while True:
+        came = known[-1].withColumnRenamed("level", "new")
+        filled = Cut(waiting.join(came, "r", "left").select("m", "r", "w", F.coalesce("level", F.col("new") + F.col("w")).alias("level")), "waiting", "true")
+        if old:
+            old.drop()
+        if not filled.counted:
+            break
+        reached = filled.df.groupBy("m").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max("level").alias("level"))
         new = Cut(reached.where("n = k").select(F.col("m").alias("r"), "level"), "known", "true")
         if not new.counted:
             break
         known.append(new.df)
-        left = Cut(waiting.df.join(new.df.select(F.col("r").alias("m")), "m", "left_anti"), "waiting", "true")
-        waiting.drop()
-        waiting = left
+        old = filled
+        waiting = filled.df.join(new.df.select(F.col("r").alias("m")), "m", "left_anti")
     so_far = known[0]
     for k in known[1:]:
         so_far = so_far.unionByName(k)

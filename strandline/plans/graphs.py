@@ -77,6 +77,19 @@ def h01_members(spark: SparkSession, sf: str) -> DataFrame:
     return versions.members(nodes(spark, sf), BY)
 
 
+# I: dependencies in linear size
+
+
+@query(
+    f"""WITH e AS (SELECT DISTINCT project_id, source, target, {q._SCRIPT.format('source')} AS s, {q._SCRIPT.format('target')} AS t FROM edges),
+w AS (SELECT project_id, target AS artifact, source AS script FROM e WHERE s AND NOT t), r AS (SELECT project_id, source AS artifact, target AS script FROM e WHERE t AND NOT s)
+SELECT w.project_id, w.artifact, count(DISTINCT w.script) AS n_writers, count(DISTINCT r.script) AS n_readers, count(*) FILTER (WHERE w.script <> r.script) AS n_pairs
+FROM w JOIN r ON r.project_id = w.project_id AND r.artifact = w.artifact GROUP BY ALL"""
+)
+def i02_shared_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.shared_artifacts(edges(spark, sf), q.scripts(spark, sf), BY)
+
+
 # J: clusters
 
 

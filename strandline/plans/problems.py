@@ -72,7 +72,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.differences(table(spark, sf_dir, "snapshot_left"), table(spark, sf_dir, "snapshot_right"), SNAPSHOT_KEYS, SNAPSHOT_FIELDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p1_columns, p3_found, p4_found, p4_descendants, p5_found)}
+def p5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that both copies have, but not as often."""
+    return diff.repeats(table(spark, sf_dir, "snapshot_left"), table(spark, sf_dir, "snapshot_right"), [*SNAPSHOT_KEYS, *SNAPSHOT_FIELDS])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_log, p1_nodes, p1_columns, p3_found, p4_found, p4_descendants, p5_found, p5_repeats)}
 
 _FOREST = r"""
 WITH RECURSIVE raw AS (
@@ -89,7 +94,10 @@ anc AS (
   FROM anc a JOIN up u ON u.relation = a.relation AND u.child = a.cur WHERE NOT list_contains(a.path, u.parent))
 """
 
+_ROW = ", ".join([*SNAPSHOT_KEYS, *SNAPSHOT_FIELDS])
+
 SQL = {
+    "p5_repeats": f"SELECT {_ROW}, count(*) FILTER (WHERE l) AS n_left, count(*) FILTER (WHERE NOT l) AS n_right FROM (SELECT {_ROW}, true AS l FROM snapshot_left UNION ALL SELECT {_ROW}, false FROM snapshot_right) GROUP BY {_ROW} HAVING n_left > 0 AND n_right > 0 AND n_left <> n_right",
     "p4_found": _FOREST
     + """,
 ends AS (SELECT a.*, u.parent AS again FROM anc a LEFT JOIN up u ON u.relation = a.relation AND u.child = a.cur

@@ -220,7 +220,7 @@ class Drift:
         either file, less if it names two, and not if it names more, as a type does; known names of ids decide ties, then equal names.
         Workers fold batches to distinct texts with three of their records at most, so a text of a third of all records is no hot key.
         """
-        schema = "p long, h binary, now boolean, field string, rec string"
+        schema = "p long, h long, now boolean, field string, rec string"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _any_digits()
@@ -229,14 +229,14 @@ class Drift:
                 seen: dict[tuple, set[str]] = {}
                 for rec, body, sides in zip(*(c.to_pylist() for c in b.columns)):
                     sides = read(sides)
-                    texts = [(_digest(v), k) for k, v in (_record(body) or {}).items() if isinstance(v, str) and not isinstance(v, _Fraction)]
+                    texts = [(int.from_bytes(_digest(v)[:8], signed=True), k) for k, v in (_record(body) or {}).items() if isinstance(v, str) and not isinstance(v, _Fraction)]
                     for side in sides:
                         for h, k in texts:
                             recs = seen.setdefault((side["p"], h, side["now"], k), set())
                             if len(recs) <= REPEATED:
                                 recs.add(rec or "")
                 rows = [(*key, rec) for key, recs in seen.items() for rec in recs]
-                types = [pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.string()]
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["p", "h", "now", "field", "rec"])
 
         each = moved.mapInArrow(run, schema).repartition("p", "h").groupBy("p", "h", "now", "field", "rec").agg(F.lit(0))

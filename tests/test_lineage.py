@@ -510,3 +510,61 @@ def test_events_behind_the_watermark_are_merged(spark, sf_dir, tmp_path):
     assert ids(written) == [1, 2]
     assert ids(changes.missed(arrived, written, ["event_id"])) == [3, 4]
     assert sorted((x.window_start.day, x.n) for x in changes.merged_usage(arrived, written, ["event_id"]).collect()) == [(1, 1), (2, 1), (9, 1), (10, 1)]
+
+
+# masters, shared folders, scripts
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from strandline import materialize
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "yarn", "app-1"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        materialize.shared_dir(Fake())
+
+
+def test_tables_of_a_query_are_deleted(spark):
+    from pathlib import Path
+
+    from strandline import materialize
+
+    kept = materialize.Cut(spark.range(3))
+    with materialize.scratch(spark):
+        gone = materialize.Cut(spark.range(3))
+        assert gone.df.count() == 3
+    where = lambda t: Path(t.path.removeprefix("file:"))
+    assert kept.df.count() == 3
+    assert not where(gone).exists()
+    kept.drop()
+    assert not where(kept).exists()
+
+
+def test_macros_in_macros():
+    deep = "".join(f"local m{i + 1} `m{i}'\n" for i in range(30))
+    src = f"local m0 a b\n{deep}use \"d/`m30'.dta\"\nlocal x `y'\nlocal y `x'\nuse \"e/`x'.dta\"\nlocal n1 one two\nlocal i 1\nuse \"f/`n`i''.dta\"\nlocal s `s's\nuse \"g/`s'.dta\"\n"
+    got = _events(stata.parse(src, Context("/p", "a.do")))
+    assert got == [
+        ("use", ["d/a.dta", "d/b.dta"], "full"),
+        ("use", ["e/{x}.dta"], "partial"),
+        ("use", ["f/one.dta", "f/two.dta"], "full"),
+        ("use", ["g/{s}s.dta"], "partial"),
+    ]
+
+
+def test_direction_of_f_string_paths():
+    src = 'a = f"fig/p_{k}.png"\nb = f"in/s_{k}.txt"\nopen(x, "w"); c = f"out/t_{k}.txt"\nd = f"out/u_{k}.csv"; df.to_csv(h)\n'
+    got = {(x["normalized_paths"][0], x["is_write"]) for x in python.parse(src, Context("/p", "a.py")) if x["command"] == "fstring_path"}
+    assert got == {("fig/p_*.png", True), ("in/s_*.txt", False), ("out/t_*.txt", True), ("out/u_*.csv", True)}

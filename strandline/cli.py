@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--project-root")
     p.add_argument("--config")
     p.add_argument("--output")
+    p.add_argument("--as-folder", action="store_true", help="extract-edges, snapshot-json, validate: write --output as a folder of files, by the executors")
     p.add_argument("--view")
     p.add_argument("--format", default=None, help="svg, png or pdf of images; json, csv or text of sections")
     p.add_argument("--mode", choices=["auto", "resolved"], default="resolved", help="clusters without or with the manual ones")
@@ -56,12 +57,21 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run(a: argparse.Namespace, config: Config, spark) -> int:
     from strandline.plans import pipeline
-    from strandline.sinks import text
+    from strandline.sinks import tables, text
 
+    if a.as_folder and (a.command not in ("extract-edges", "snapshot-json", "validate") or not a.output):
+        sys.stderr.write("--as-folder needs --output and one of extract-edges, snapshot-json, validate.\n")
+        return 2
     root = config.project_root
     if a.command == "extract-sections":
         return _give(text.section_index(pipeline.script_sections(spark, root, config), a.format or "json"), a.output)
     graph = pipeline.build(spark, root, config, with_clusters=a.mode != "auto")
+    if a.as_folder:
+        if a.command == "extract-edges":
+            tables.write_edges(graph.edges, a.output)
+        else:
+            {"validate": tables.write_report, "snapshot-json": tables.write_snapshot}[a.command](pipeline.validated(graph), a.output)
+        return 0
     if a.command == "extract-edges":
         return _give(text.edge_csv(graph.edges), a.output)
     if a.command in ("render-dot", "render-image"):

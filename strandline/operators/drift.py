@@ -62,14 +62,30 @@ def _as_text(v: object) -> str:
     return v if isinstance(v, str) else _json(v)
 
 
+class _Mark(str):
+    """A piece of JSON that stands between values."""
+
+
 def _json(v: object) -> str:
-    if isinstance(v, _Fraction):
-        return str(v)
-    if isinstance(v, dict):
-        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_json(v[k])}" for k in sorted(v)) + "}"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(_json, v)) + "]"
-    return json.dumps(v, ensure_ascii=False)
+    """JSON of a value of any depth, without recursion."""
+    out, todo = [], [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (_Mark, _Fraction)):
+            out.append(str(x))
+        elif isinstance(x, dict) and x:
+            todo.append(_Mark("}"))
+            for k in sorted(x, reverse=True):
+                todo += [x[k], _Mark(f", {json.dumps(k, ensure_ascii=False)}: ")]
+            todo[-1] = _Mark("{" + todo[-1][2:])
+        elif isinstance(x, list) and x:
+            todo.append(_Mark("]"))
+            for e in reversed(x):
+                todo += [e, _Mark(", ")]
+            todo[-1] = _Mark("[")
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def _bit(v: object) -> int:

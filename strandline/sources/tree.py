@@ -1,4 +1,4 @@
-"""A project tree as a relation of files. The listing runs where the tree is mounted; contents are read by the executors, scripts only."""
+"""A project tree as a relation of files. Executors list what lies below its first levels and read the contents of scripts; the tree is mounted where they run."""
 
 from __future__ import annotations
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from strandline.config import INPUT_SUFFIXES, OUTPUT_SUFFIXES, Config, Exclusions
 from strandline.operators.exclusions import excluded
 
-FILES_SCHEMA = "path string, category string, is_dir boolean, mtime timestamp, size bigint, place int"
+FILES_SCHEMA = "path string, category string, is_dir boolean, mtime timestamp, size bigint"
+#: How many folders, or paths, the driver finds before it leaves the folders below them to tasks.
+FOLDERS_AHEAD, PATHS_AHEAD = 64, 10_000
 
 
 def _folder_excluded(rel: str, rules: Exclusions) -> bool:
@@ -30,32 +32,59 @@ def _folder_excluded(rel: str, rules: Exclusions) -> bool:
     return False
 
 
+def _listed(root: str, folder: str, rules: Exclusions) -> tuple[list[tuple], list[str]]:
+    """The rows of one folder, in order of names, and the folders in it that are to be entered. Links that lead nowhere are left out, links to folders not entered."""
+    rows, inside = [], []
+    try:
+        entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    for e in entries:
+        path = f"{folder}/{e.name}" if folder else e.name
+        try:
+            if e.is_dir():
+                if _folder_excluded(path, rules):
+                    rows.append((path + "/", "excluded", True, None, None))
+                    continue
+                rows.append((path, None, True, None, None))
+                if not e.is_symlink():
+                    inside.append(path)
+            else:
+                s = e.stat()
+                rows.append((path, None, False, datetime.fromtimestamp(s.st_mtime, UTC), s.st_size))
+        except OSError:
+            continue
+    return rows, inside
+
+
 def project_files(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    """(path, category, is_dir, mtime, size, place) below root, in the order of a sorted walk (``place``).
+    """(path, category, is_dir, mtime, size) below root.
 
     category: a language, ``input``, ``output``, ``other`` or ``excluded``; folders have NULL. A suffix that is both input and output is
     input. Excluded folders are listed with a slash at the end and not entered. Links that lead nowhere are left out.
     """
     rules = config.exclusions.resolved()
-    rows = []
-    for folder, dirs, names in os.walk(root):
-        rel = os.path.relpath(folder, root).replace(os.sep, "/")
-        at = "" if rel == "." else rel + "/"
-        dirs.sort()
-        for d in list(dirs):
-            path = at + d
-            if _folder_excluded(path, rules):
-                dirs.remove(d)
-                rows.append((path + "/", "excluded", True, None, None))
-            else:
-                rows.append((path, None, True, None, None))
-        for n in sorted(names):
-            try:
-                s = os.stat(os.path.join(folder, n))
-            except OSError:
-                continue
-            rows.append((at + n, None, False, datetime.fromtimestamp(s.st_mtime, UTC), s.st_size))
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], FILES_SCHEMA)
+    rows, ahead = [], [""]
+    while ahead and len(ahead) < FOLDERS_AHEAD and len(rows) < PATHS_AHEAD:
+        level, ahead = ahead, []
+        for folder in level:
+            found, inside = _listed(root, folder, rules)
+            rows += found
+            ahead += inside
+    df = spark.createDataFrame(rows, FILES_SCHEMA)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            todo = list(b["folder"])
+            while todo:
+                found, inside = _listed(root, todo.pop(), rules)
+                todo += inside
+                if found:
+                    out = pd.DataFrame(found, columns=["path", "category", "is_dir", "mtime", "size"])
+                    yield out.assign(mtime=pd.to_datetime(out["mtime"], utc=True), size=out["size"].astype("Int64"))
+
+    if ahead:
+        df = df.unionByName(spark.createDataFrame([(f,) for f in ahead], "folder string").repartition(len(ahead), "folder").mapInPandas(walk, FILES_SCHEMA))
     suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
     category = F.lit("other")
     for names, label in ((OUTPUT_SUFFIXES, "output"), (INPUT_SUFFIXES, "input")):

@@ -467,6 +467,39 @@ def test_cli_and_edge_csv_round_trip(spark, project, tmp_path):
     assert json.loads(found.read_text()) == {"code/04_plot.R": [{"line": 5, "level": 1, "title": "Plot"}]}
 
 
+def test_relations_as_folders(spark, project, tmp_path):
+    assert cli.main(["extract-edges", "--project-root", project, "--as-folder"]) == 2
+    assert cli.main(["extract-edges", "--project-root", project, "--as-folder", "--output", f"{tmp_path}/edges"]) == 0
+    one = tmp_path / "edges.csv"
+    assert cli.main(["extract-edges", "--project-root", project, "--output", str(one)]) == 0
+    lines = [x for f in sorted((tmp_path / "edges").glob("part-*.csv")) for x in f.read_text().splitlines()[1:]]
+    assert lines == one.read_text().splitlines()[1:]
+    assert cli.main(["snapshot-json", "--project-root", project, "--as-folder", "--output", f"{tmp_path}/snap"]) == 0
+    assert spark.read.json(f"{tmp_path}/snap/edges").count() == len(lines)
+    assert cli.main(["validate", "--project-root", project, "--as-folder", "--output", f"{tmp_path}/report"]) == 0
+    assert spark.read.json(f"{tmp_path}/report/summary").agg(F.sum("n")).first()[0] == spark.read.json(f"{tmp_path}/report/diagnostics").count()
+
+
+def test_trees_are_listed_by_tasks_below_the_first_levels(spark, tmp_path, monkeypatch):
+    from strandline.sources import tree
+
+    for i in range(5):
+        for j in range(3):
+            (tmp_path / f"d{i}" / f"e{j}" / "archive").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "x.csv").write_text("a")
+            (tmp_path / f"d{i}" / f"e{j}" / "archive" / "y.csv").write_text("a")
+    (tmp_path / "broken").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "a.py").write_text("")
+    rows = lambda: sorted(tuple(r) for r in tree.project_files(spark, str(tmp_path), Config()).collect())
+    whole = rows()
+    assert len(whole) == 1 + 5 + 15 + 30
+    assert {r[1] for r in whole} == {"python", "input", "excluded", None}
+    monkeypatch.setattr(tree, "FOLDERS_AHEAD", 2)
+    assert rows() == whole
+    monkeypatch.setattr(tree, "FOLDERS_AHEAD", 1)
+    assert rows() == whole
+
+
 def test_settings(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("display: {theme: nope, view: scripts_only, odd: 1}\nclusters: [{id: a, members: [x]}]\n")

@@ -113,6 +113,15 @@ def test_no_value_is_lost_to_a_type(spark):
     assert (out[0].l, out[1].l) == ("[1, 2.5]", '[{"a": null, "b": 1}]')
 
 
+def test_json_of_any_depth():
+    v = [1, {"b": [], "a": {"c": None, "d": drift._Fraction("2.50")}}, "x\u00e9", [[]], {}]
+    assert drift._as_text(v) == '[1, {"a": {"c": null, "d": 2.50}, "b": []}, "x\u00e9", [[]], {}]'
+    deep = []
+    for _ in range(50_000):
+        deep = [deep]
+    assert drift._as_text(deep) == "[" * 50_001 + "]" * 50_001
+
+
 def test_drift_consistent_table(spark):
     raw = _raw(spark, _snapshots())
     out = drift.consistent_table(raw, drift.Drift(raw), ["raw_id", "file_name"])

@@ -231,10 +231,13 @@ with open(q, "r") as g:
     pass
 export(df, output_path="rep/e.html")
 plot = f"fig/p_{k}.png"
-other = f"in/s_{k}.txt"
-df.style.to_latex(); json.dump(df, handle); target = f"in/t_{k}.txt"
+other = f"in/s_{k}.csv"
+df.style.to_latex(); json.dump(df, handle); target = f"in/t_{k}.csv"
 subprocess.run(["python", "p/tool.py"])
 one = panda.read_csv(os.path.join("/abs/else", "one.csv"))
+places = {"raw": "data/raw", "out": "data/out"}
+two = panda.read_csv(places["raw"] + "/two.csv")
+note = f"not a path {k}.txt"
 """,
     "r/m.R": """base <- "data"
 source("r/u.R")
@@ -270,9 +273,10 @@ _EVENTS = [
     ("p/a.py", 13, "open_read", "cfg.json", "full", False),
     ("p/a.py", 15, "kwarg_write", "rep/e.html", "full", True),
     ("p/a.py", 16, "fstring_path", "fig/p_*.png", "full", True),
-    ("p/a.py", 17, "fstring_path", "in/s_*.txt", "full", False),
-    ("p/a.py", 18, "fstring_path", "in/t_*.txt", "full", True),
+    ("p/a.py", 17, "fstring_path", "in/s_*.csv", "full", False),
+    ("p/a.py", 18, "fstring_path", "in/t_*.csv", "full", True),
     ("p/a.py", 20, "read_csv", "data/one.csv", "full", False),
+    ("p/a.py", 22, "read_csv", "data/raw/two.csv", "full", False),
     ("r/m.R", 3, "read_csv_readr", "data/a.csv", "full", False),
     ("r/m.R", 5, "list_files", "in/*.csv", "full", False),
     ("r/m.R", 6, "inferred_kwarg", "rep/r.html", "full", True),

@@ -22,7 +22,8 @@ _WRITES = {f"np.{c[3:]}": (c, 0) for c in ("np_save", "np_savetxt", "np_savez",
 #: Methods that write to their first argument.
 _METHODS = {c: c for c in _CALLS if c.startswith("to_")} | {"savefig": "savefig", "save": "save_method"}
 _WRAPPED = {"pickle.dump": "pickle_dump", "json.dump": "json_dump"}
-# What makes a path that stands in an f-string one that is written.
+# How an f-string ends that is taken for a path, and what makes it one that is written.
+FILE_KINDS = (".parquet", ".csv", ".pkl", ".pickle", ".feather", ".json", ".xlsx", ".dta", ".npy", ".npz", ".hdf", ".h5", ".orc", ".pdf", ".png", ".svg", ".eps")
 DRAWN = (".png", ".pdf", ".svg", ".eps", ".tex")
 WRITING_METHODS = {"to_csv", "to_parquet", "to_excel", "to_json", "to_feather", "to_hdf", "to_pickle", "to_orc", "to_stata", "savefig", "save"}
 DUMPS = {"pickle.dump", "json.dump", "joblib.dump"}
@@ -122,6 +123,9 @@ class Reader:
                 for _ in range(k + 1):
                     x = None if x is None else posixpath.dirname(x) or "."
                 return x
+            case ast.Subscript(value=ast.Name(id=n), slice=ast.Constant(value=key)) if isinstance(self.values.get(n), ast.Dict):
+                of = self.values[n]
+                return next((self.value(v) for k, v in zip(of.keys, of.values) if isinstance(k, ast.Constant) and k.value == key), None)
             case ast.Call():
                 return self.call(e)
         return None
@@ -252,7 +256,7 @@ class Reader:
         for n in ast.walk(self.tree):
             if isinstance(n, ast.JoinedStr) and not {(n.lineno, True), (n.lineno, False)} & taken:
                 v = self.value(n)
-                if v and re.search(r"\.\w{2,7}$", v) and "/" in v and " " not in v:
+                if v and v.lower().endswith(FILE_KINDS) and any(isinstance(x, ast.FormattedValue) for x in n.values):
                     write = v.lower().endswith(DRAWN) or n.lineno in writing
                     event = c.event(n.lineno, "fstring_path", ast.unparse(n), [v], "full", None, write)
                     if event and ("fstring_path", event["normalized_paths"][0]) not in seen:

@@ -598,6 +598,6 @@ def test_macros_in_macros():
 
 
 def test_direction_of_f_string_paths():
-    src = 'a = f"fig/p_{k}.png"\nb = f"in/s_{k}.txt"\nopen(x, "w"); c = f"out/t_{k}.txt"\nd = f"out/u_{k}.csv"; df.to_csv(h)\n'
+    src = 'a = f"fig/p_{k}.png"\nb = f"in/s_{k}.csv"\nopen(x, "w"); c = f"out/t_{k}.pkl"\nd = f"out/u_{k}.csv"; df.to_csv(h)\n'
     got = {(x["normalized_paths"][0], x["is_write"]) for x in python.parse(src, Context("/p", "a.py")) if x["command"] == "fstring_path"}
-    assert got == {("fig/p_*.png", True), ("in/s_*.txt", False), ("out/t_*.txt", True), ("out/u_*.csv", True)}
+    assert got == {("fig/p_*.png", True), ("in/s_*.csv", False), ("out/t_*.pkl", True), ("out/u_*.csv", True)}

@@ -41,6 +41,12 @@ def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") ->
     return lists.join(sizes, on).select(*keys, "n", "n_rows", "members")
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks can run at once: for rows that cost much more to work on than to move, of which a scan gives few partitions (small files, large row groups)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, previous: dict[str, Column] | None = None) -> DataFrame:
     """df with ``name``: the place of each row within its by group (the whole table without by), from 1, in the given order.
 

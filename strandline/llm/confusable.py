@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.materialize import cut
+from strandline.operators.spread import over_cores
 
 # Where the public table is not followed. Letters that are drawn like the Latin one, whatever it says; and two that are told apart from r and w.
 DRAWN_LIKE, NOT_DRAWN_LIKE = {"Ӏ": "I", "Ԛ": "Q", "ӏ": "l", "ԝ": "w"}, {"г", "ѡ"}
@@ -353,7 +354,7 @@ PLAIN = r"\A[\t\n\x0B\f\r -~]*\z"
 
 
 def forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, form[, text]) of every document; NULL stays NULL. Texts of plain ASCII are their own form; the others are formed in Arrow batches. No shuffle."""
+    """(id, form[, text]) of every document; NULL stays NULL. Texts of plain ASCII are their own form; the others are formed in Arrow batches. No shuffle but of a scan's few partitions over all cores."""
     cols = [id_col, "text", "form"] if keep_text else [id_col, "form"]
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     plain = F.coalesce(F.col("text").rlike(PLAIN), F.lit(True))
@@ -364,14 +365,14 @@ def forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([tables.form(t) for t in b.column(1).to_pylist()], pa.string())], [*b.schema.names, "form"])
 
-    return src.where(plain).withColumn("form", F.col("text")).select(*cols).unionByName(src.where(~plain).mapInArrow(run, schema).select(*cols))
+    return src.where(plain).withColumn("form", F.col("text")).select(*cols).unionByName(over_cores(src.where(~plain)).mapInArrow(run, schema).select(*cols))
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token, kind, scripts, form, n) of the suspicious words of every document, each word once with the number of times it stands there.
 
     kind ``mixed``: no script can write all its letters (Latin may stand beside Japanese, Chinese and Korean); ``whole``: it is in one script and its form in another. Words are runs of letters. NULL
-    and ASCII texts have none. No shuffle.
+    and ASCII texts have none.
     """
     src = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(~F.col("text").rlike(PLAIN))
     rest = T._parse_datatype_string("token string, kind string, scripts array<string>, form string, n long")
@@ -384,7 +385,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             at, *cols = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], [id_col, *rest.names])
 
-    return src.mapInArrow(run, T.StructType([src.schema[id_col], *rest.fields]))
+    return over_cores(src).mapInArrow(run, T.StructType([src.schema[id_col], *rest.fields]))
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

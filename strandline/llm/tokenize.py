@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.spread import over_cores
+
 #: Where the vocabulary files are; the same path on all executors.
 VOCABULARIES = "/opt/tokenizers"
 #: The pattern of the vocabulary's pre-tokens (a fixed value).
@@ -117,7 +119,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, vocabular
         for b in batches:
             yield finish(b.column(0), [enc.encode(t) if t else b"" for t in b.column(1).to_pylist()])
 
-    short = src.where(~long).mapInArrow(whole, schema)
+    short = over_cores(src.where(~long)).mapInArrow(whole, schema)
 
     pieces = _stitched(src.where(long), id_col, vocabulary, vocabularies, chunk, overlap)
     piece_schema = T.StructType([id_field, T.StructField("piece", T.IntegerType()), schema[result]])

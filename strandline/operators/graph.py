@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandline.materialize import Cut, cut
+from strandline.operators.spread import IN_ONE_TASK, in_one_task
 
 
 #: Layers that are peeled between two tables that are written.
@@ -21,11 +23,17 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFr
     """(node, component): the least node that can be reached over the (a, b) links, taken in both directions.
 
     Least labels spread along links and along labels (pointer jumping), so rounds grow with the logarithm of the diameter on chains. Isolated
-    nodes are their own component; links to unknown nodes are ignored; NULL nodes are dropped.
+    nodes are their own component; links to unknown nodes are ignored; NULL nodes are dropped. Few links are finished by one task.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both, "links")
-    start = nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct()
+    found = Cut(both, "links", "true")
+    both, start = found.df, nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct()
+    if found.counted <= IN_ONE_TASK:
+        kind = links.schema["a"].dataType.simpleString()
+        known = start.withColumnRenamed("v", "a")
+        both = both.join(known, "a", "left_semi").join(known.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+        labels = in_one_task(both, _least_labels, f"v {kind}, c {kind}", ["v", "c"])
+        return start.join(labels, "v", "left").select(F.col("v").alias(node), F.coalesce("c", "v").alias("component"))
     state = Cut(start.select("v", F.col("v").alias("c"), F.lit(True).alias("moved")), "labels", "moved")
     while state.counted:
         near = state.df.select(F.col("v").alias("a"), F.col("c").alias("nc")).join(both, "a").groupBy("b").agg(F.min("nc").alias("nc"))
@@ -39,15 +47,87 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFr
     return state.df.select(F.col("v").alias(node), F.col("c").alias("component"))
 
 
+def _least_labels(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """(v, c): the least node of each node's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        # the least label goes to both ends and to the node that stands for the label so far
+        least = np.minimum(label[x], label[y])
+        for end in (x, y):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)
+        new = new[new]
+        if (new == label).all():
+            return [ids, ids[label]]
+        label = new
+
+
+def _trimmed(both_ends: bool) -> Callable[..., list[np.ndarray]]:
+    def f(source: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        """The links whose target has a way on for ever (and, with both ends, whose source is reached for ever)."""
+        ids, at = np.unique(np.concatenate([source, target]), return_inverse=True)
+        a, b = at[: len(source)], at[len(source) :]
+        keep = np.ones(len(a), bool)
+        for ahead, behind in ((a, b), (b, a))[: 2 if both_ends else 1]:
+            # nodes from which nothing leads on go, one after the other
+            left = np.bincount(ahead[keep], minlength=len(ids))
+            order = np.argsort(behind, kind="stable")
+            first = np.searchsorted(behind[order], np.arange(len(ids) + 1))
+            todo = np.flatnonzero(left == 0).tolist()
+            while todo:
+                v = todo.pop()
+                for i in order[first[v] : first[v + 1]]:
+                    if keep[i]:
+                        keep[i] = False
+                        left[ahead[i]] -= 1
+                        if not left[ahead[i]]:
+                            todo.append(ahead[i])
+        return [source[keep], target[keep]]
+
+    return f
+
+
+def _topological(parent: np.ndarray, child: np.ndarray) -> list[np.ndarray]:
+    """(v, level) of the ends of links."""
+    ids, at = np.unique(np.concatenate([parent, child]), return_inverse=True)
+    a, b = at[: len(parent)], at[len(parent) :]
+    order = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[order], np.arange(len(ids) + 1))
+    missing = np.bincount(b, minlength=len(ids))
+    level = np.where(missing == 0, 0, -1)
+    todo = np.flatnonzero(missing == 0)
+    while len(todo):
+        # all links out of one layer at once
+        n = first[todo + 1] - first[todo]
+        out = order[np.repeat(first[todo] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        reached, times = np.unique(b[out], return_counts=True)
+        missing[reached] -= times
+        depth = level[todo[0]] + 1
+        todo = reached[missing[reached] == 0]
+        level[todo] = depth
+    return [ids, level.astype(np.int32)]
+
+
 def levels(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
-    """(node, level): 0 without a parent, else one more than the highest parent's; -1 for nodes on or behind a cycle. links: (parent, child), repeats count once.
+    """(node, level): 0 without a parent, else one more than the highest parent's; -1 for nodes on or behind a cycle. links: (parent, child), repeats count once, those to unknown nodes not.
 
     Chains of nodes with one parent are contracted by pointer doubling, so rounds grow with the logarithm of their length; only nodes with
-    several parents are resolved layer by layer.
+    several parents are resolved layer by layer. Few links are finished by one task.
     """
-    links = cut(links.select("parent", "child").distinct(), "links")
+    known = nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct()
+    for end in ("parent", "child"):
+        links = links.join(known.withColumnRenamed("v", end), end, "left_semi")
+    found = Cut(links.select("parent", "child").distinct(), "links", "true")
+    links = found.df
+    if found.counted <= IN_ONE_TASK:
+        kind = links.schema["parent"].dataType.simpleString()
+        levels_ = in_one_task(links, _topological, f"v {kind}, level int", ["v", "level"])
+        return known.join(levels_, "v", "left").select(F.col("v").alias(node), F.coalesce("level", F.lit(0)).alias("level"))
     parents = links.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("p")).withColumnRenamed("child", "v")
-    every = nodes.select(F.col(node).alias("v")).where("v IS NOT NULL").distinct().join(parents, "v", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = known.join(parents, "v", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # each node's anchor r: itself, or the nearest ancestor that has no parent or several; d links away
     start = every.select("v", "n", F.when(F.col("n") == 1, F.col("p")).otherwise(F.col("v")).alias("r"), F.when(F.col("n") == 1, 1).otherwise(0).alias("d"))
     anchors = start.select(F.col("v").alias("r"), (F.col("n") == 1).alias("live"))
@@ -89,8 +169,11 @@ def levels(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
 
 
 def trim(links: DataFrame, both_ends: bool = False) -> DataFrame:
-    """The (source, target) links whose target reaches a cycle; with both_ends also only such that a cycle reaches. What can't is dropped layer by layer."""
+    """The (source, target) links whose target reaches a cycle; with both_ends also only such that a cycle reaches. What can't is dropped layer by layer; few links are finished by one task."""
     state = Cut(links.select("source", "target").distinct(), "trim", "true")
+    if state.counted <= IN_ONE_TASK:
+        kind = links.schema["source"].dataType.simpleString()
+        return cut(in_one_task(state.df, _trimmed(both_ends), f"source {kind}, target {kind}", ["source", "target"]), "trimmed")
     while state.counted:
         left = state.df
         for _ in range(LAYERS):

@@ -19,10 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.materialize import Cut, cut
-from strandline.operators.spread import numbered
+from strandline.operators.spread import IN_ONE_TASK, in_one_task, numbered
 
-#: Links, arcs or ring nodes (numbers of some 40 bytes) that one task finishes. What is more is contracted by rounds of joins first.
-IN_ONE_TASK = 1 << 20
 #: Entries of a tour that one bucket holds.
 BUCKET = 1 << 16
 #: Characters of paths that a Python worker passes on at once.
@@ -40,18 +38,6 @@ def clean_links(df: DataFrame, relation: str, parent: str, children: str) -> Dat
     return rows.where("parent IS NOT NULL AND parent <> ''").distinct()
 
 
-def _in_one_task(df: DataFrame, f: Callable[..., list[np.ndarray]], schema: str, names: list[str]) -> DataFrame:
-    """f of all columns of df, whose rows are few, as arrays; a NULL is -1. Without rows there are none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(all_) if (all_ := [b for b in batches if b.num_rows]) else None
-        if table is not None:
-            numbers = [np.array(c.fill_null(-1) if pa.types.is_integer(c.type) else c.to_pylist()) for c in table.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in f(*numbers)], names)
-
-    return df.repartition(1).mapInArrow(run, schema)
-
-
 def _numbered_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different ids of both arrays, and where each of a and of b stands among them."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -171,7 +157,7 @@ class Forest:
                     break
             ends = jump.df.select(F.col("p").alias("v")).distinct()
         else:
-            ends = _in_one_task(jump.df if jump else self.parents, _on_rings, "v long", ["v"])
+            ends = in_one_task(jump.df if jump else self.parents, _on_rings, "v long", ["v"])
         on_ring = Cut(ends, "on-ring", "true")
         self.n_ring = on_ring.counted
         if not self.n_ring:
@@ -179,7 +165,7 @@ class Forest:
             return
         names = self.nodes.select(F.col("nid").alias("v"), "node")
         around = on_ring.df.join(self.parents, "v").join(names, "v").select("v", "p", "node")
-        self.ring = cut(_in_one_task(around, _least_of_rings, "v long, ring long", ["v", "ring"]) if self.n_ring <= IN_ONE_TASK else self._around(around), "rings")
+        self.ring = cut(in_one_task(around, _least_of_rings, "v long, ring long", ["v", "ring"]) if self.n_ring <= IN_ONE_TASK else self._around(around), "rings")
         #: links of the trees: rings are cut open, their nodes are roots
         self.tree = cut(self.parents.join(on_ring.df, "v", "left_anti"), "tree")
 
@@ -204,7 +190,7 @@ class Forest:
         """tour: (v, root, entry, exit, depth) of every node with a link. entry and exit count the arcs of the root's tour; depth counts from the root of the cut-open tree."""
         if self.n_links <= IN_ONE_TASK:
             columns = ["v", "root", "entry", "exit", "depth"]
-            self.tour = cut(_in_one_task(self.tree, _toured, ", ".join(f"{c} long" for c in columns), columns), "tour")
+            self.tour = cut(in_one_task(self.tree, _toured, ", ".join(f"{c} long" for c in columns), columns), "tour")
             return
         v = F.shiftright("arc", 1).alias("v")
         is_down = F.col("arc") % 2 == 0
@@ -264,7 +250,7 @@ class Forest:
         left = state.df.where("NOT gone").select("arc", "next", "n", "d", "root")
         done, going = left.where("next IS NULL"), left.where("next IS NOT NULL")
         aims = done.join(going.select(F.col("next").alias("arc")).distinct(), "arc", "left_semi").select(*left.columns)
-        found = _in_one_task(going.unionByName(aims), _arcs_ranked, "arc long, n long, d long, root long", ["arc", "n", "d", "root"])
+        found = in_one_task(going.unionByName(aims), _arcs_ranked, "arc long, n long, d long, root long", ["arc", "n", "d", "root"])
         ranks = Cut(done.select("arc", "n", "d", "root").unionByName(found), "ranks")
         for table in reversed(rounds):
             back = table.where("host IS NOT NULL").select("arc", F.col("n").alias("n0"), F.col("d").alias("d0"), "host")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.materialize import cut
 
+#: Rows of links or numbers (of some 40 bytes) that one task finishes. What is more is brought down to that by rounds of joins first.
+IN_ONE_TASK = 1 << 20
 #: How many members a list shows. ``membership`` has all.
 LISTED = 1_000
 
@@ -41,6 +47,18 @@ def listed(df: DataFrame, keys: list[str], member: str, where: str = "n > 1") ->
     return lists.join(sizes, on).select(*keys, "n", "n_rows", "members")
 
 
+def in_one_task(df: DataFrame, f: Callable[..., list[np.ndarray]], schema: str, names: list[str]) -> DataFrame:
+    """f of all columns of df as arrays; df has at most IN_ONE_TASK rows, give or take a factor. A NULL number is -1. Without rows there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(all_) if (all_ := [b for b in batches if b.num_rows]) else None
+        if table is not None:
+            numbers = [np.array(c.fill_null(-1) if pa.types.is_integer(c.type) else c.to_pylist(), dtype=None if pa.types.is_integer(c.type) else object) for c in table.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in f(*numbers)], names)
+
+    return df.repartition(1).mapInArrow(run, schema)
+
+
 def over_cores(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as tasks can run at once: for rows that cost much more to work on than to move, of which a scan gives few partitions (small files, large row groups)."""
     n = df.sparkSession.sparkContext.defaultParallelism

@@ -226,7 +226,9 @@ png(filename = "p.png")
 # graph algorithms
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_components_against_union_find(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", in_one_task)
     rnd = random.Random(4)
     nodes = [f"n{i:02d}" for i in range(60)]
     links = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(35)] + [(f"c{i}", f"c{i + 1}") for i in range(30)]
@@ -244,7 +246,9 @@ def test_components_against_union_find(spark):
     assert {x.node: x.component for x in got.collect()} == {n: find(n) for n in nodes}
 
 
-def test_levels(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_levels(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", in_one_task)
     rnd = random.Random(9)
     links = [(f"n{rnd.randrange(i)}", f"n{i}") for i in range(1, 50)] + [(f"n{rnd.randrange(i)}", f"n{i}") for i in range(20, 50)]
     links += [("c1", "c2"), ("c2", "c1"), ("c2", "t"), ("t", "u"), ("n3", "u"), ("z", "z")]
@@ -259,6 +263,7 @@ def test_levels(spark):
         got = [level(p, (*seen, v)) for p in parents.get(v, ())]
         return None if None in got else max(got, default=-1) + 1
 
+    links += [("unknown", "alone"), ("n3", "unknown")]
     got = graph.levels(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(links, "parent string, child string"))
     assert {x.node: x.level for x in got.collect()} == {n: -1 if level(n) is None else level(n) for n in nodes}
 
@@ -271,7 +276,9 @@ def test_canonical_cycle_ignores_rotation_and_direction(cycle, k, turn):
     assert graph.canonical_cycle(other[::-1] if turn else other) == graph.canonical_cycle(names)
 
 
-def test_cycles(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_cycles(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", in_one_task)
     e = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a"), ("s", "s")]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(e)], "edge_ord long, source string, target string")
     assert graph.cycles(df) == [("a", "b", "c"), ("s",)]
@@ -305,7 +312,9 @@ def _whole_search(links):
     return found
 
 
-def test_cycles_of_projects_equal_a_search_of_each(spark, tmp_path):
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_cycles_of_projects_equal_a_search_of_each(spark, monkeypatch, in_one_task, tmp_path):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", in_one_task)
     rnd = random.Random(7)
     graphs = {p: [(f"{p[0]}{rnd.randrange(14):02d}.do", f"{p[0]}{rnd.randrange(14):02d}.do") for _ in range(22)] for p in ("p1", "q2", "r3", "s4", "t5", "u6")}
     # of these, a search from b finds other cycles than one from 0, which leads into the cycles at d

@@ -5,14 +5,20 @@ Their SQL lists the expected rows, so a pattern or a reader that changes its min
 
 from __future__ import annotations
 
+import dataclasses
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import config as cfg
 from strandline.functions import paths
 from strandline.operators import catalog, exclusions, sections
+from strandline.plans import pipeline
 from strandline.plans.lineage import query
 from strandline.resolve import run
+from strandline.sinks import text
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -405,3 +411,142 @@ def c00_path_functions(spark: SparkSession, sf: str) -> DataFrame:
         df = spark.createDataFrame([(a,) for a, _ in cases], "input string").select(F.lit(f).alias("function"), "input", _function(f, F.col("input")).cast("string").alias("result"))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+# whole small graphs: what is drawn, written and said about them
+
+
+def _graph(spark: SparkSession, with_edges: bool = True) -> pipeline.LineageGraph:
+    nodes = [
+        ("a.py", "script", "a.py", "script", "c1"),
+        ("b.R", "script", "b.R", "script", "c2"),
+        ("z.do", "script", "z.do", "script", None),
+        ("in/x.csv", "artifact", "in/x.csv", "reference_input", None),
+        ("mid/y.rds", "artifact", "mid/y.rds", "intermediate", "c1"),
+        ("out/{k}.png", "artifact_placeholder", None, "placeholder_artifact", None),
+    ]
+    edges = [(1, "in/x.csv", "a.py", "read_csv"), (2, "a.py", "mid/y.rds", "to_rds"), (3, "mid/y.rds", "b.R", "readRDS"), (4, "b.R", "out/{k}.png", "ggsave"), (5, "z.do", "z.do", "manual"), (6, "a.py", "mid/y.rds", "to_rds")]
+    clusters = [
+        ("c1", "First", ["a.py", "mid/y.rds"], [], {"kind": "manual", "order": "2", "collapse": "false"}),
+        ("c2", "Second", ["b.R"], [], {"kind": "manual", "order": "3", "collapse": "true"}),
+        ("m", "Both", [], ["c1"], {"kind": "manual", "order": "1", "collapse": "false"}),
+    ]
+    files = [("a.py", "python", False), ("b.R", "r", False), ("in", None, True), ("in/x.csv", "input", False), ("old/", "excluded", True), ("q.bak", "excluded", False)]
+    diagnostics = [("warning", "absolute_path_usage", f"Absolute path {i}", {"script": "a.py", "path": f"/abs/{i}"}) for i in (1, 2, 2)]
+    return pipeline.LineageGraph(
+        spark, "/srv/p",
+        spark.createDataFrame([(n, n.rsplit("/", 1)[-1], t, p, r, c) for n, t, p, r, c in nodes], "node_id string, label string, node_type string, path string, role string, cluster_id string"),
+        spark.createDataFrame([(i, a, b, o, "k", o) for i, a, b, o in (edges if with_edges else [])], "edge_ord long, source string, target string, operation string, kind string, visible_label string"),
+        spark.createDataFrame(diagnostics, pipeline.DIAGNOSTICS), spark.createDataFrame(clusters, pipeline.CLUSTERS),
+        spark.createDataFrame([(*f, None) for f in files], "path string, category string, is_dir boolean, mtime timestamp"), {"rankdir": "TB"},
+    )
+
+
+_DRAWING = """digraph pipeline {
+  rankdir=TB;
+  subgraph "cluster_m" {
+    label="Both";
+    subgraph "cluster_c1" {
+      label="First";
+      "a.py" [label="a.py", shape=box]
+      "mid/y.rds" [label="y.rds", shape=note]
+    }
+  }
+  "cluster::c2" [label="Second", shape=folder];
+  "in/x.csv" [label="x.csv", shape=note]
+  "out/{k}.png" [label="{k}.png", shape=note, style="dashed"]
+  "z.do" [label="z.do", shape=box]
+  subgraph "position::unclustered_artifacts" {
+    rank="min";
+    "in/x.csv";
+    "out/{k}.png";
+  }
+  "in/x.csv" -> "a.py" [label="read_csv"];
+  "a.py" -> "mid/y.rds" [label="to_rds"];
+  "mid/y.rds" -> "cluster::c2" [label="readRDS"];
+  "cluster::c2" -> "out/{k}.png" [label="ggsave"];
+  "z.do" -> "z.do" [label="manual", comment="self-loop"];
+  "a.py" -> "cluster::c2";
+}"""
+_YAML = """clusters:
+  - id: "m"
+    label: "Both"
+    member_cluster_ids:
+      - "c1"
+    order: 1
+    collapse: false
+  - id: "c1"
+    label: "First"
+    members:
+      - "a.py"
+    order: 2
+    collapse: false
+  - id: "c2"
+    label: "Second"
+    members:
+      - "b.R"
+    order: 3
+    collapse: true"""
+_SUMMARY = """Project root: /srv/p
+Nodes: 6
+  artifact: 2
+  artifact_placeholder: 1
+  script: 3
+Edges: 6
+Clusters: 3
+Excluded paths: 2
+Diagnostics: 3
+- [warning] absolute_path_usage: Absolute path 1
+- [warning] absolute_path_usage: Absolute path 2
+- [warning] absolute_path_usage: Absolute path 2"""
+_EDGE_CSV = "source,target,command,kind\nin/x.csv,a.py,read_csv,k\na.py,mid/y.rds,to_rds,k\nmid/y.rds,b.R,readRDS,k\nb.R,out/{k}.png,ggsave,k\nz.do,z.do,manual,k\na.py,mid/y.rds,to_rds,k"
+_TEXTS = {"drawing": _DRAWING, "clusters": _YAML, "summary": _SUMMARY, "edges": _EDGE_CSV}
+
+
+@query(_values([(name, i, line) for name, t in _TEXTS.items() for i, line in enumerate(t.split("\n"), 1)], "text, line, said"))
+def b04_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph with clusters in clusters, one of them collapsed, as drawing (without colours), cluster definitions, summary and edge list."""
+    g = _graph(spark)
+    config = cfg.Config()
+    config.display.show_edge_labels = True
+    config.layout.unclustered_artifacts_position = "left"
+    plain = re.sub(r', fillcolor="#\w+"(, style="dashed")?\];', r"\1]", text.dot(g, config))
+    plain = "\n".join(x for x in plain.split("\n") if not x.startswith(("  graph [", "  node [", "  edge [")))
+    made = {"drawing": plain, "clusters": text.cluster_yaml(g), "summary": text.summary(g), "edges": text.edge_csv(g.edges)}
+    return spark.createDataFrame([(name, i, line) for name, t in made.items() for i, line in enumerate(t.rstrip("\r\n").splitlines(), 1)], "text string, line int, said string")
+
+
+_SAID = [
+    ("layout", "warning", "invalid_layout_rankdir", 1),
+    ("layout", "warning", "invalid_unclustered_artifacts_position", 1),
+    ("scan", "info", "project_scan", 1),
+    ("scan", "info", "excluded_files", 1),
+    ("scan", "info", "display_option_irrelevant", 1),
+    ("scan", "info", "exclusion_defaults_not_inherited", 1),
+    ("clusters", "warning", "cluster_member_not_found", 1),
+    ("clusters", "warning", "duplicate_manual_cluster_id", 1),
+    ("clusters", "warning", "meta_cluster_cycle", 1),
+    ("clusters", "warning", "meta_cluster_unknown_reference", 1),
+    ("clusters", "info", "manual_clusters_applied", 1),
+    ("validated", "warning", "absolute_path_usage", 1),
+    ("validated", "info", "excluded_path_inventory", 1),
+    ("validated", "warning", "empty_graph", 1),
+    ("validated", "info", "orphan_artifact", 3),
+    ("validated", "warning", "orphan_node", 6),
+    ("validated", "warning", "missing_referenced_file", 2),
+]
+
+
+@query(_values(_SAID, "step, level, code, n"))
+def l01_said(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each step of a build says what, about a small graph and a configuration with mistakes."""
+    g = dataclasses.replace(_graph(spark, with_edges=False))
+    none = dataclasses.replace(g, diagnostics=g.diagnostics.where("false"))
+    config = cfg.Config()
+    config.layout.rankdir, config.layout.unclustered_artifacts_position = "XX", "middle"
+    config.display.view, config.display.show_terminal_outputs = "scripts_only", False
+    config.exclusions.presets = []
+    config.clusters = [cfg.ManualCluster("n1", "N", ["z.do", "y.do"]), cfg.ManualCluster("n1", "N2", ["z.do"]), cfg.ManualCluster("n2", "M", [], ["n3"]), cfg.ManualCluster("n3", "O", [], ["n2", "n9"])]
+    steps = {"layout": pipeline._layout(none, config), "scan": pipeline._scan_facts(none, config), "clusters": pipeline._manual_clusters(none, config), "validated": pipeline.validated(g)}
+    rows = [step_of.diagnostics.groupBy("level", "code").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "level", "code", "n") for step, step_of in steps.items()]
+    return reduce(DataFrame.unionByName, rows)

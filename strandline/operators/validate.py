@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import ARTIFACT_ROLES, TERMINAL_SUFFIXES
 from strandline.functions import paths
+from strandline.materialize import cut
 from strandline.operators import graph
 from strandline.operators.assemble import diagnostic
 from strandline.operators.spread import listed, membership
@@ -127,20 +130,50 @@ def cycle_detected(edges: DataFrame, by: list[str], order: str = "edge_ord") ->
     return found.select(*by, *diagnostic("warning", "cycle_detected", F.concat(F.lit("Cycle detected: "), "path"), {"cycle": F.col("path")}), "start", "i")
 
 
+def usage(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node_id, n_in, n_out, n_writes, n_reads) of every end of an edge, in one pass: edges to and from it, and of those the ones by which a script writes or reads it, a script itself left out."""
+    scripts = F.struct(ends_in_script(F.col("source")).alias("s"), ends_in_script(F.col("target")).alias("t"))
+    row = lambda node, i, o, w, r: F.struct(F.col(node).alias("node_id"), F.lit(i).alias("i"), F.lit(o).alias("o"), w.alias("w"), r.alias("r"))
+    no = F.lit(False)
+    ends = F.array(row("source", 0, 1, no, F.col("_s.t") & ~F.col("_s.s")), row("target", 1, 0, F.col("_s.s") & ~F.col("_s.t"), no))
+    e = edges.select(*by, "source", "target", scripts.alias("_s")).select(*by, F.explode(ends).alias("_e"))
+    return e.groupBy(*by, "_e.node_id").agg(F.sum("_e.i").alias("n_in"), F.sum("_e.o").alias("n_out"), F.count_if("_e.w").alias("n_writes"), F.count_if("_e.r").alias("n_reads"))
+
+
 def diagnostics(nodes: DataFrame, edges: DataFrame, files: DataFrame | None, by: list[str]) -> DataFrame:
-    """(by, level, code, message, payload) of all checks but cycles, each once."""
+    """(by, level, code, message, payload) of all checks but cycles, each once: the rows of the single checks.
+
+    What edges say of their ends is counted once and joined to the nodes once; all checks of nodes read that table. NULL projects are a project.
+    """
     at = [F.col(c) for c in by]
-    p = F.col("path")
+    p, node = F.col("path"), F.col("node_id")
+    used = cut(usage(edges, by), "usage")
+    seen = nodes.select(*by, "node_id", "node_type", "path", "role").join(used.select(*(F.col(c).alias(f"_u_{c}") for c in [*by, "node_id"]), "n_in", "n_out", "n_writes", "n_reads"), _same([*by, "node_id"]), "left")
+    seen = cut(seen.drop(*(f"_u_{c}" for c in [*by, "node_id"])), "seen")
+    ends = F.lit(False)
+    for s in TERMINAL_SUFFIXES:
+        ends = ends | F.endswith("node_id", F.lit(s))
+    artifact = F.col("node_type").like("artifact%")
+    unconsumed = used.where((F.col("n_writes") > 0) & (F.col("n_reads") == 0) & ~ends)
+    orphans = seen.where(artifact & (F.coalesce("n_writes", F.lit(0)) == 0) & (F.coalesce("n_reads", F.lit(0)) == 0)).select(*by, "node_id").distinct()
+    alone = seen.where("n_in IS NULL").select(*by, "node_id", "node_type").distinct()
     out = multiple_writers(edges, by).select(*at, *diagnostic("warning", "multiple_writers", F.concat(F.lit("Several scripts write "), p), {"path": p, "scripts": F.col("scripts"), "count": F.col("n_writes")}))
     add = [
-        unconsumed_output(edges, by).select(*at, *diagnostic("info", "unconsumed_output", F.concat(F.lit("Produced artifact is not consumed downstream: "), p), {"path": p})),
-        orphan_artifacts(nodes, edges, by).select(*at, *diagnostic("info", "orphan_artifact", F.concat(F.lit("Orphan artifact: "), "node_id"), {"path": F.col("node_id")})),
-        orphan_nodes(nodes, edges, by).select(*at, *diagnostic("warning", "orphan_node", F.concat(F.lit("Node without edges: "), "node_id"), {"path": F.col("node_id"), "node_type": F.col("node_type")})),
-        unknown_roles(nodes, by).select(*at, *diagnostic("warning", "unknown_file_role", F.concat(F.lit("Artifact of unknown role: "), "node_id"), {"path": F.col("node_id"), "role": F.coalesce("role", F.lit("None"))})),
-        ambiguous_names(nodes, by).select(*at, *diagnostic("info", "ambiguous_name", F.concat(F.lit("Several nodes share a file name: "), "name"), {"name": F.col("name"), "node_type": F.col("node_type"), "paths": F.col("paths")})),
+        unconsumed.select(*at, *diagnostic("info", "unconsumed_output", F.concat(F.lit("Produced artifact is not consumed downstream: "), node), {"path": node})),
+        orphans.select(*at, *diagnostic("info", "orphan_artifact", F.concat(F.lit("Orphan artifact: "), node), {"path": node})),
+        alone.select(*at, *diagnostic("warning", "orphan_node", F.concat(F.lit("Node without edges: "), node), {"path": node, "node_type": F.col("node_type")})),
+        unknown_roles(seen, by).select(*at, *diagnostic("warning", "unknown_file_role", F.concat(F.lit("Artifact of unknown role: "), node), {"path": node, "role": F.coalesce("role", F.lit("None"))})),
+        ambiguous_names(seen, by).select(*at, *diagnostic("info", "ambiguous_name", F.concat(F.lit("Several nodes share a file name: "), "name"), {"name": F.col("name"), "node_type": F.col("node_type"), "paths": F.col("paths")})),
     ]
     if files is not None:
-        add.append(missing_files(nodes, edges, files, by).select(*at, *diagnostic("warning", "missing_referenced_file", F.concat(F.lit("Referenced path does not exist: "), p), {"path": p, "node_type": F.col("node_type")})))
+        # artifacts that are only written needn't be there
+        named = seen.where(p.isNotNull() & ~F.startswith("path", F.lit("/")) & ~(artifact & F.coalesce(F.col("n_in") > 0, F.lit(False)) & F.coalesce(F.col("n_out") == 0, F.lit(False))))
+        lost = named.select(*by, "path", "node_type").distinct().join(files.select(*by, "path").distinct(), [*by, "path"], "left_anti")
+        add.append(lost.select(*at, *diagnostic("warning", "missing_referenced_file", F.concat(F.lit("Referenced path does not exist: "), p), {"path": p, "node_type": F.col("node_type")})))
     for d in add:
         out = out.unionByName(d)
     return out
+
+
+def _same(columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in columns))

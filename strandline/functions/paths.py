@@ -83,7 +83,7 @@ def strip_to_marker(path: Column, markers: list[str]) -> Column:
     for m in markers:
         inner = "/".join(x for x in m.split("/") if x not in ("", "."))
         if inner:
-            rest = F.regexp_replace(F.regexp_extract(clean, f"^.*?/{re.escape(inner)}/(.*)$", 1), "/$", "")
+            rest = F.regexp_replace(F.regexp_extract(clean, f"(?s)^.*?/{re.escape(inner)}/(.*)$", 1), "/$", "")
             found.append(F.when(F.contains(clean, F.lit(f"/{inner}/")), F.when(rest == "", ".").otherwise(rest)))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 

@@ -19,8 +19,8 @@ from strandline.plans.problems import table
 _UBLANK = q._UWS
 
 
-def _folded(text: str) -> str:
-    """SQL of normalize_token: blanks and quotes stripped, slashes forward and single, dots folded."""
+def _folded(text: str, source: str = "SELECT event_id, raw_path, NULL AS kept FROM parsed_events WHERE raw_path IS NOT NULL") -> str:
+    """SQL of normalize_token (column v) of a text of source: blanks and quotes stripped, slashes forward and single, dots folded."""
     bare = rf"regexp_replace({text}, '^{_UBLANK}+|{_UBLANK}+$', '', 'g')"
     for quote in ('"', "\'\'"):
         bare = f"regexp_replace({bare}, '^{quote}+|{quote}+$', '', 'g')"
@@ -29,14 +29,24 @@ def _folded(text: str) -> str:
         "CASE WHEN x[1] IN ('', '.') THEN acc WHEN x[1] <> '..' THEN list_concat(acc, x) WHEN len(acc) > 0 AND acc[-1] <> '..' THEN acc[1:len(acc) - 1] "
         "WHEN x[2] = '/' THEN acc ELSE list_concat(acc, x[1:1]) END"
     ).replace("list_concat(acc, x) ", "list_concat(acc, x[1:1]) ")
-    return f"""SELECT event_id, raw_path, s, CASE WHEN starts_with(s, '/') THEN '/' || b WHEN b = '' THEN '.' ELSE b END AS v FROM (
+    return f"""SELECT event_id, raw_path, kept, s, CASE WHEN starts_with(s, '/') THEN '/' || b WHEN b = '' THEN '.' ELSE b END AS v FROM (
   SELECT *, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(s, '/'), lambda p: [p, s[1:1]])), lambda acc, x: {step}), '/') AS b
-  FROM (SELECT event_id, raw_path, {slashed} AS s FROM parsed_events WHERE raw_path IS NOT NULL))"""
+  FROM (SELECT event_id, raw_path, kept, {slashed} AS s FROM ({source})))"""
 
 
 SQL["c01_normalized"] = f"SELECT event_id, v AS path, regexp_full_match(v, '[./\\\\]*') AS bare FROM ({_folded('raw_path')})"
 
 
+_BELOW = " ".join(f"WHEN v = '{p}' THEN '.' WHEN starts_with(v, '{p}/') THEN v[{len(p) + 2}:]" for p in ("${GL_ROOT}", "{BASE_DIR}", "$gl_base", "/work/project", "project"))
+_MARKED = " ".join(f"WHEN kept.absolute AND contains(whole, '/{m}/') THEN regexp_replace(whole[strpos(whole, '/{m}/') + {len(m) + 2}:], '/$', '')" for m in ("work/project", "srv/proj", "project"))
+_UP = "rtrim(CASE WHEN p[1] = 'work' THEN '../' || array_to_string(p[2:], '/') ELSE '../../' || array_to_string(p, '/') END, '/')"
+_ABSOLUTE = r"SELECT event_id, raw_path, {'absolute': regexp_matches(raw_path, '^(/|\\\\|[A-Za-z]:[\\/])'), 'value': NULL::VARCHAR} AS kept FROM parsed_events WHERE raw_path IS NOT NULL"
+_PARTS = f"SELECT *, list_filter(string_split(v, '/'), lambda x: x NOT IN ('', '.')) AS p, '/' || array_to_string(list_filter(string_split(v, '/'), lambda x: x NOT IN ('', '.')), '/') || '/' AS whole FROM ({_folded('raw_path', _ABSOLUTE)})"
+# what lies below an alias, the root or a marker is normalised once more
+_INSIDE = f"SELECT event_id, CASE {_BELOW} {_MARKED} END AS raw_path, {{'absolute': kept.absolute, 'value': CASE WHEN kept.absolute AND starts_with(v, '/') THEN {_UP} ELSE v END}} AS kept FROM ({_PARTS})"
+SQL["c09_project_relative"] = f"SELECT event_id, CASE WHEN raw_path IS NULL THEN kept.value ELSE v END AS value, kept.absolute AS was_absolute FROM ({_folded('raw_path', _INSIDE)})"
+
+
 # memberships of the groups that lists show the first of
 
 
@@ -187,11 +197,12 @@ def n01_views(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (render.visible(n, e, BY, d).select(F.lit(v).alias("view"), "project_id", "node_id") for v, (d, _) in _VIEWS.items()))
 
 
-_COLLAPSED = f"{q._NODES}, d AS ({SQL['j01_definitions']}), c AS (SELECT project_id, cluster_id FROM d WHERE collapse = 'true')"
+_COLLAPSED = f"{q._NODES}, d AS ({SQL['j01_definitions']}), c AS (SELECT project_id, cluster_id FROM d WHERE kind = 'auto')"
 
 
 def _collapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return overrides.latest_definitions(table(spark, sf, "clusters"), BY, F.col("cluster_row_id")).where("collapse = 'true'").select(*BY, "cluster_id")
+    """The clusters that are drawn as one: here the automatic ones, as these definitions set no collapse."""
+    return overrides.latest_definitions(table(spark, sf, "clusters"), BY, F.col("cluster_row_id")).where("kind = 'auto'").select(*BY, "cluster_id")
 
 
 @query(f"WITH {_COLLAPSED} SELECT n.project_id, n.node_id, CASE WHEN c.cluster_id IS NOT NULL THEN 'cluster::' || n.cluster_id ELSE n.node_id END AS alias FROM n LEFT JOIN c ON c.project_id = n.project_id AND c.cluster_id = n.cluster_id WHERE n.node_id IS NOT NULL")
@@ -227,6 +238,20 @@ def n08_collapsed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return render.drawn_edges(edges(spark, sf), n03_aliases(spark, sf), BY, cfg.Display(show_edge_labels=True))
 
 
+@query(
+    f"""WITH {_COLLAPSED}, a AS (SELECT n.project_id, n.node_id, CASE WHEN c.cluster_id IS NOT NULL THEN 'cluster::' || n.cluster_id ELSE n.node_id END AS alias FROM n LEFT JOIN c ON c.project_id = n.project_id AND c.cluster_id = n.cluster_id WHERE n.node_id IS NOT NULL),
+i AS (SELECT DISTINCT e.project_id, e.target AS mid, a.alias AS a FROM edges e JOIN a ON a.project_id = e.project_id AND a.node_id = e.source),
+o AS (SELECT DISTINCT e.project_id, e.source AS mid, a.alias AS b FROM edges e JOIN a ON a.project_id = e.project_id AND a.node_id = e.target),
+near AS (SELECT project_id, mid FROM i WHERE starts_with(a, 'cluster::') UNION SELECT project_id, mid FROM o WHERE starts_with(b, 'cluster::')),
+mids AS (SELECT n.project_id, n.node_id AS mid FROM n JOIN near ON near.project_id = n.project_id AND near.mid = n.node_id WHERE NOT ({_SCRIPTS_OF}))
+SELECT DISTINCT i.project_id, a AS source, b AS target FROM i JOIN o ON o.project_id = i.project_id AND o.mid = i.mid JOIN mids ON mids.project_id = i.project_id AND mids.mid = i.mid WHERE a <> b"""
+)
+def n06_collapsed_bridges(spark: SparkSession, sf: str) -> DataFrame:
+    """What leads over one artifact from or to a collapsed cluster, in the overview."""
+    n = nodes(spark, sf).where("node_id IS NOT NULL")
+    return render.bridges(edges(spark, sf), n03_aliases(spark, sf), n, BY)
+
+
 # B: edge lists
 
 _CSV = "CASE WHEN regexp_matches({0}, '[\",\n\r]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE coalesce({0}, '') END"

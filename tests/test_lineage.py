@@ -44,7 +44,7 @@ def test_column_normalisation_equals_posix(spark):
 
 def test_project_relative(spark):
     config = Normalization(path_prefix_aliases={"$data": "data"}, project_root_markers=["share/proj"])
-    cases = {"/home/u/proj/data/x.csv": ("data/x.csv", True), "proj/a.do": ("a.do", False), "C:\\w\\proj\\b.dta": ("b.dta", True), "/other/z.csv": ("../../../other/z.csv", True), "./q.csv": ("q.csv", False), "$data/k.csv": ("data/k.csv", False), "/mnt/share/proj/m.csv": ("m.csv", True)}
+    cases = {"/home/u/proj/data/x.csv": ("data/x.csv", True), "proj/a.do": ("a.do", False), "C:\\w\\proj\\b.dta": ("b.dta", True), "/other/z.csv": ("../../../other/z.csv", True), "./q.csv": ("q.csv", False), "$data/k.csv": ("data/k.csv", False), "/mnt/share/proj/a\r;\nb.csv": ("a\r;\nb.csv", True), "/mnt/share/proj/m.csv": ("m.csv", True)}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = {x.t: tuple(x.r) for x in df.select("t", paths.to_project_relative(F.col("t"), "/home/u/proj", config).alias("r")).collect()}
     assert got == cases

@@ -13,6 +13,7 @@ from strandline.operators import assemble, clustering, graph, hierarchy, overrid
 from strandline.plans import lineage as q
 from strandline.plans.lineage import BY, SQL, edges, events, nodes, query
 from strandline.plans.problems import table
+from strandline.streaming import changes
 
 # C: folding of dots, as a reduction of the list of a path's parts
 
@@ -261,3 +262,25 @@ _CSV = "CASE WHEN regexp_matches({0}, '[\",\n\r]') THEN '\"' || replace({0}, '\"
 def b01_edge_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of the edge list: source, target, command, kind, quoted where they need it."""
     return edges(spark, sf).select("project_id", "edge_ord", paths.csv_line(*(F.col(c) for c in ("source", "target", "operation", "kind"))).alias("line"))
+
+
+# streams, as batches over what has arrived
+
+
+@query(
+    f"WITH {q._ROUTED} SELECT strftime(date_trunc('hour', scanned_at), '%Y-%m-%d %H:%M:%S') AS window_start, project_id, kind, count(*) AS n FROM routed WHERE scanned_at IS NOT NULL GROUP BY ALL"
+)
+def s01_usage_by_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads, writes and erases by hour of all events."""
+    w = changes.usage_by_window(events(spark, sf), late=None)
+    return w.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_ON_TIME = "scanned_at IS NOT NULL AND loaded_at <= scanned_at + INTERVAL 2 HOUR"
+
+
+@query(f"SELECT event_id FROM parsed_events EXCEPT SELECT event_id FROM parsed_events WHERE {_ON_TIME}")
+def s02_missed(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that come more than two hours late, or without a time, which a stream leaves to the batch."""
+    e = events(spark, sf)
+    return changes.missed(e, e.where(_ON_TIME), ["event_id"]).select("event_id")

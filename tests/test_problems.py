@@ -302,3 +302,17 @@ def test_lists_show_the_first_and_places_span_partitions(spark, monkeypatch):
     for g in "ab":
         assert [r.i for r in sorted((r for r in out if r.g == g), key=lambda r: r.x)] == list(range(1, sum(x[0] == g for x in rows) + 1))
     assert spread.numbered(spark.createDataFrame([], "g string, x double"), [], [F.col("x")], "i").collect() == []
+
+
+def test_the_row_before_is_found_across_partitions(spark):
+    from strandline.operators import spread
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(5)
+    out = spread.numbered(df, ["g"], [F.col("x").asc()], "i", {"before": F.col("x"), "both": F.struct("g", "x")}).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r for r in out if r.g == g), key=lambda r: r.i)
+        assert [r.x for r in mine] == sorted(x for k, x in rows if k == g)
+        assert [r.before for r in mine] == [None] + [r.x for r in mine[:-1]]
+        assert [r.both and r.both.x for r in mine] == [None] + [r.x for r in mine[:-1]]

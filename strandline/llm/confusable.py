@@ -86,6 +86,11 @@ def _is_letter(c: str) -> bool:
     return unicodedata.category(c)[0] == "L"
 
 
+def _in_an_alphabet(c: str) -> bool:
+    """A letter of its own, no modifier and no sign of length."""
+    return unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo")
+
+
 def _script_ranges() -> tuple[list[int], list[frozenset[str]]]:
     """Where runs of letters of the same script sets begin, and the sets, by Unicode's script extensions."""
     import regex
@@ -136,7 +141,7 @@ class Alike:
         classes: dict[str, set[str]] = defaultdict(set)
         for c in {*table, *table.values(), *map(chr, range(128))}:
             # letters of one character each; what is taken apart before needs no look-alike
-            if len(c) == 1 and _is_letter(c) and ord(c) not in self.first and unicodedata.normalize("NFD", c) == c and c not in DRAWN_LIKE and c not in NOT_DRAWN_LIKE and len(p := prototype(c)) == 1:
+            if len(c) == 1 and _in_an_alphabet(c) and ord(c) not in self.first and unicodedata.normalize("NFD", c) == c and c not in DRAWN_LIKE and c not in NOT_DRAWN_LIKE and len(p := prototype(c)) == 1:
                 classes[p].add(c)
         #: letter to the letter it is taken for
         self.alike: dict[int, str] = {}
@@ -152,7 +157,7 @@ class Alike:
             for c in sorted(members, key=lambda c: (kind(c) == 0, c)):
                 target = next((x for x in plain if kind(x) == kind(c)), p if not plain or p in plain else plain[0])
                 # syllables of Hangul are written as a whole, their parts are no letters
-                if c.isascii() or c == target or not _is_letter(target) or "Hangul" in self.scripts_of(c):
+                if c.isascii() or c == target or not _in_an_alphabet(target) or "Hangul" in self.scripts_of(c):
                     continue
                 for script in self.scripts_of(c):
                     # two letters of one alphabet are different letters; only Latin has letters that are variants of others

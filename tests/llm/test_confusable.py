@@ -28,7 +28,7 @@ SAME = [
     ("Ӏ", "I"),
     ("ѵԝһ", "vwh"),
 ]
-DIFFERENT = [("a", "A"), ("é", "e"), ("1", "l"), ("0", "O"), ("a b", "a\nb"), ("a-b", "a_b"), ("½", "1/2"), ("œ", "oe"), ("a b", "a  b"), ("ж", "x"), ("…", "..."), ("²", "2"), ("👩‍💻", "👩💻"), ("\r\n", "\n"), ("г", "r"), ("σ", "o"), ("ß", "ss"), ("I", "l"), ("З", "3"), ("’", "'"), ("rn", "m"), ("ш", "щ"), ("ハ", "バ"), ("к", "k")]
+DIFFERENT = [("a", "A"), ("é", "e"), ("1", "l"), ("0", "O"), ("a b", "a\nb"), ("a-b", "a_b"), ("½", "1/2"), ("œ", "oe"), ("a b", "a  b"), ("ж", "x"), ("…", "..."), ("²", "2"), ("👩‍💻", "👩💻"), ("\r\n", "\n"), ("г", "r"), ("σ", "o"), ("ß", "ss"), ("I", "l"), ("З", "3"), ("’", "'"), ("rn", "m"), ("ш", "щ"), ("ハ", "バ"), ("к", "k"), ("一", "ー")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -50,7 +50,7 @@ def test_words_are_spelled_in_one_script():
 
 
 def test_japanese_words_keep_their_letters():
-    for text in ("エラーをサーバーへ送信する", "入口と人口、工場のデータ", "xlsxに関するデータ", "データxlsx"):
+    for text in ("エラーをサーバーへ送信する", "入口と人口、工場のデータ", "xlsxに関するデータ", "データxlsx", "データ一覧とパラメーター", "一方"):
         assert one_form(text) == text
     assert one_form("デー夕") == one_form("データ") == "データ"
 

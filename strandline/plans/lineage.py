@@ -130,13 +130,6 @@ def c22_labels(spark, sf):
     return nodes(spark, sf).where("node_id IS NOT NULL").select("project_id", "node_id", paths.label(F.col("node_id"), depth=1).alias("label"))
 
 
-@query("SELECT DISTINCT message, replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, '\"' || replace(replace(message, '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM diagnostics WHERE message IS NOT NULL AND regexp_full_match(message, '[\\x00-\\x7F]*')")
-def c23_escaped(spark, sf):
-    """Of messages in ASCII only; c23_escaped_all has the others too."""
-    d = table(spark, sf, "diagnostics").where("message IS NOT NULL").where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select("message").distinct()
-    return d.select("message", paths.xml_escape(F.col("message")).alias("escaped"), paths.yaml_quote(F.col("message")).alias("quoted"))
-
-
 _XML = "replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
@@ -144,8 +137,7 @@ _XML = "replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;
     f"""SELECT message, array_to_string(list_transform(string_split({_XML}, ''), lambda x: CASE WHEN unicode(x) > 127 THEN '&#' || unicode(x) || ';' ELSE x END), '') AS escaped,
   '"' || replace(replace(message, '\\', '\\\\'), '"', '\\"') || '"' AS quoted FROM (SELECT DISTINCT message FROM diagnostics WHERE message IS NOT NULL)"""
 )
-def c23_escaped_all(spark, sf):
-    """c23_escaped over all messages, those beyond ASCII too."""
+def c23_escaped(spark, sf):
     d = table(spark, sf, "diagnostics").where("message IS NOT NULL").select("message").distinct()
     return d.select("message", paths.xml_escape(F.col("message")).alias("escaped"), paths.yaml_quote(F.col("message")).alias("quoted"))
 
@@ -172,20 +164,12 @@ def c21_quoted_literals(spark, sf):
     return lines.select("doc_id", "line", paths.first_quoted(F.col("text")).alias("literal"), F.col("text").rlike("(https?|ftp|s3|gs)://").alias("external")).where("literal IS NOT NULL")
 
 
-@query(r"SELECT DISTINCT path, regexp_replace(replace(regexp_replace(path, '^\s+|\s+$', '', 'g'), '\', '/'), '^\./', '') AS cleaned FROM nodes WHERE path IS NOT NULL AND NOT regexp_matches(path, '[^\x00-\x7F]')")
-def c16_manual_paths(spark, sf):
-    """Of paths in ASCII only; c16_manual_paths_all has the others too."""
-    n = table(spark, sf, "nodes").where(F.col("path").isNotNull() & ~F.col("path").rlike(r"[^\x00-\x7F]")).select("path").distinct()
-    return n.select("path", paths.manual_path(F.col("path")).alias("cleaned"))
-
-
 #: What Unicode counts as white space; RE2's \s knows ASCII only.
 _UWS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 @query(rf"SELECT path, regexp_replace(replace(regexp_replace(path, '^{_UWS}+|{_UWS}+$', '', 'g'), '\', '/'), '^\./', '') AS cleaned FROM (SELECT DISTINCT path FROM nodes WHERE path IS NOT NULL)")
-def c16_manual_paths_all(spark, sf):
-    """c16_manual_paths over all paths, those beyond ASCII too."""
+def c16_manual_paths(spark, sf):
     n = table(spark, sf, "nodes").where("path IS NOT NULL").select("path").distinct()
     return n.select("path", paths.manual_path(F.col("path")).alias("cleaned"))
 
@@ -195,26 +179,14 @@ def c16_manual_paths_all(spark, sf):
 _RULES = cfg.Exclusions(prefixes=["prj_hub/tmp/"], globs=["*.pkl", "shared/*/*.rds"], folder_names=["annex"], exact_names=["housing_v1.csv"], presets=["archival_folders"])
 
 
-@query(
-    r"""SELECT node_row_id, (p = 'prj_hub/tmp' OR starts_with(p, 'prj_hub/tmp/') OR regexp_extract(p, '[^/]*$') = 'housing_v1.csv'
-  OR list_has_any(string_split(p, '/')[:-2], ['annex', 'archive', '~old', 'old', 'backup'])
-  OR regexp_matches(p, '(?:^|/)[^/]*\.pkl$|(?:^|/)shared/[^/]*/[^/]*\.rds$|(?:^|/)[^/]*\.bak$')) AS excluded
-FROM (SELECT node_row_id, path AS p FROM nodes WHERE path IS NOT NULL AND NOT ends_with(path, '/') AND NOT contains(path, '//') AND NOT contains(path, '/./') AND NOT starts_with(path, './') AND path <> '')"""
-)
-def d03_excluded(spark, sf):
-    """Of paths that need no folding only; d03_excluded_all has the others too."""
-    n = table(spark, sf, "nodes").where("path IS NOT NULL AND NOT endswith(path, '/') AND NOT contains(path, '//') AND NOT contains(path, '/./') AND NOT startswith(path, './') AND path <> ''")
-    return n.select("node_row_id", exclusions.excluded(F.col("path"), _RULES).alias("excluded"))
-
-
 @query(
     r"""SELECT node_row_id, (p = 'prj_hub/tmp' OR starts_with(p, 'prj_hub/tmp/') OR regexp_extract(p, '[^/]*$') = 'housing_v1.csv'
   OR list_has_any(CASE WHEN ends_with(path, '/') THEN string_split(p, '/') ELSE string_split(p, '/')[:-2] END, ['annex', 'archive', '~old', 'old', 'backup'])
   OR regexp_matches(p, '(?:^|/)[^/]*\.pkl$|(?:^|/)shared/[^/]*/[^/]*\.rds$|(?:^|/)[^/]*\.bak$')) AS excluded
 FROM (SELECT node_row_id, path, CASE WHEN starts_with(path, '/') THEN '/' ELSE '' END || array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM nodes WHERE path IS NOT NULL)"""
 )
-def d03_excluded_all(spark, sf):
-    """d03_excluded over all paths: folders, repeated slashes and dots are folded before the test."""
+def d03_excluded(spark, sf):
+    """Of every path: folders, repeated slashes and dots are folded before the test."""
     n = table(spark, sf, "nodes").where("path IS NOT NULL")
     return n.select("node_row_id", exclusions.excluded(F.col("path"), _RULES).alias("excluded"))
 

@@ -69,9 +69,9 @@ def _table(spark, folder, name, schema, rows):
 def test_texts_beyond_ascii_have_rows(spark, tmp_path):
     _table(spark, tmp_path, "nodes", "node_row_id long, project_id long, path string", [(1, 1, "\u00a0./größe\\ñ.csv\u2003"), (2, 1, "./a.csv"), (3, 1, None)])
     _table(spark, tmp_path, "diagnostics", "project_id long, message string", [(1, 'ß<"\\😀'), (1, "a&b"), (1, None)])
-    got = registry.QUERIES["c16_manual_paths_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["c16_manual_paths"](spark, str(tmp_path)).collect()
     assert {x.path: x.cleaned for x in got} == {"\u00a0./größe\\ñ.csv\u2003": "größe/ñ.csv", "./a.csv": "a.csv"}
-    got = registry.QUERIES["c23_escaped_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["c23_escaped"](spark, str(tmp_path)).collect()
     assert {(x.message, x.escaped, x.quoted) for x in got} == {('ß<"\\😀', '&#223;&lt;"\\&#128512;', '"ß<\\"\\\\😀"'), ("a&b", "a&amp;b", '"a&b"')}
 
 
@@ -87,10 +87,10 @@ def test_exclusion_rules(spark):
 def test_paths_that_need_folding_have_verdicts(spark, tmp_path):
     cases = {"./prj_hub/tmp/a.csv": True, "prj_hub//tmp/": True, "a/./annex/b.csv": True, "a/annex": False, "a/annex/": True, "x/shared/./k//m.rds": True, ".//housing_v1.csv": True, "": False, "/": False, "./a/b.csv": False, "//old//a": True, "/./b.bak": True}
     _table(spark, tmp_path, "nodes", "node_row_id long, path string", [*enumerate(cases), (99, None)])
-    got = {x.node_row_id: x.excluded for x in registry.QUERIES["d03_excluded_all"](spark, str(tmp_path)).collect()}
+    got = {x.node_row_id: x.excluded for x in registry.QUERIES["d03_excluded"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(cases.values()))
     duckdb.execute(f"CREATE OR REPLACE TEMP VIEW nodes AS SELECT * FROM '{tmp_path}/nodes.parquet/*.parquet'")
-    assert got == dict(duckdb.execute(registry.SQL["d03_excluded_all"]).fetchall())
+    assert got == dict(duckdb.execute(registry.SQL["d03_excluded"]).fetchall())
 
 
 # readers

@@ -80,7 +80,7 @@ def _run(a: argparse.Namespace, config: Config, spark) -> int:
     if a.command == "export-clusters":
         return _give(text.cluster_yaml(graph), a.output)
     graph = pipeline.validated(graph)
-    make = {"summary": text.summary, "validate": text.report, "snapshot-json": lambda g: text.snapshot(g, config)}[a.command]
+    make = {"summary": lambda g: text.summary(g, config), "validate": text.report, "snapshot-json": lambda g: text.snapshot(g, config)}[a.command]
     return _give(make(graph), a.output)
 
 

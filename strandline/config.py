@@ -23,12 +23,13 @@ PRESETS = {
     "python_runtime": {"prefixes": [".git/"], "folder_names": ["__pycache__", ".pytest_cache"]},
 }
 CHOICES = {
-    "display.theme": ["modern-light", "modern-dark"],
+    "display.theme": ["modern-light", "modern-dark", "warm-neutral"],
+    "display.placeholder_style": ["dashed", "filled_dashed", "bold"],
     "display.view": ["overview", "technical", "deliverables", "scripts_only", "stage_overview"],
     "display.node_label_style": ["basename", "stem", "full_path"],
     "display.edge_label_mode": ["auto", "show", "operation", "hidden"],
-    "parser.dynamic_paths.mode": ["resolve_simple", "literal_only"],
-    "parser.version_families.mode": ["detect_only", "latest_modified", "highest_numeric", "priority_suffix"],
+    "parser.dynamic_paths.mode": ["resolve_simple", "resolve_loops", "resolve_loops_with_placeholders", "literal_only"],
+    "parser.version_families.mode": ["off", "detect_only", "prefer_latest_modified", "prefer_highest_numeric", "prefer_priority_suffix", "latest_modified", "highest_numeric", "priority_suffix"],
 }
 
 

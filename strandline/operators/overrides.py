@@ -93,7 +93,7 @@ def cluster_problems(clusters: DataFrame, by: list[str]) -> DataFrame:
     twice = c.groupBy(*by, "cluster_id").agg(F.count("*").alias("_n")).where("_n > 1")
     shared = c.select(*by, "cluster_id", F.explode("n").alias("x")).distinct().groupBy(*by, "x").agg(F.min("cluster_id").alias("cluster_id"), F.count("*").alias("_n")).where("_n > 1")
     out = row(c.where(nodes & subs), "invalid_meta_cluster").unionByName(row(c.where(~nodes & ~subs), "empty_manual_cluster"))
-    out = out.unionByName(row(member.where("x = cluster_id"), "meta_cluster_self_reference", F.col("x"))).unionByName(row(member.join(known, [*by, "x"], "left_anti"), "meta_cluster_unknown_reference", F.col("x")))
+    out = out.unionByName(row(member.where("x = cluster_id"), "meta_cluster_self_reference", F.col("x"))).unionByName(row(member.join(known, [*by, "x"], "left_anti"), "meta_cluster_unknown_ref", F.col("x")))
     out = out.unionByName(row(twice, "duplicate_manual_cluster_id")).unionByName(row(shared, "duplicate_manual_cluster_member", F.col("x")))
     return out.distinct()
 

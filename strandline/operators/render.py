@@ -12,6 +12,7 @@ DELIVERABLE_VIEW_ROLES = ["deliverable", "placeholder_artifact", "reference_inpu
 # Attributes of the drawing by theme, fills by language and role.
 THEMES = {
     "modern-light": {"graph": 'bgcolor="#FFFFFF", fontname="Helvetica"', "node": 'fontname="Helvetica", style="rounded,filled", color="#94A3B8"', "edge": 'color="#64748B", fontname="Helvetica"'},
+    "warm-neutral": {"graph": 'fontname="Helvetica"', "node": 'fontname="Helvetica", style="rounded,filled", color="#7A6555"', "edge": 'color="#7A6555", fontname="Helvetica"'},
     "modern-dark": {"graph": 'bgcolor="#0F172A", fontname="Helvetica"', "node": 'fontname="Helvetica", style="rounded,filled", color="#475569", fontcolor="#E2E8F0"', "edge": 'color="#94A3B8", fontname="Helvetica", fontcolor="#E2E8F0"'},
 }
 FILLS = {"script": "#DBEAFE", "deliverable": "#DCFCE7", "reference_input": "#FEF3C7", "intermediate": "#F1F5F9", "temporary": "#FEE2E2"}

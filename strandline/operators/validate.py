@@ -169,7 +169,7 @@ def diagnostics(nodes: DataFrame, edges: DataFrame, files: DataFrame | None, by:
         # artifacts that are only written needn't be there
         named = seen.where(p.isNotNull() & ~F.startswith("path", F.lit("/")) & ~(artifact & F.coalesce(F.col("n_in") > 0, F.lit(False)) & F.coalesce(F.col("n_out") == 0, F.lit(False))))
         lost = named.select(*by, "path", "node_type").distinct().join(files.select(*by, "path").distinct(), [*by, "path"], "left_anti")
-        add.append(lost.select(*at, *diagnostic("warning", "missing_referenced_file", F.concat(F.lit("Referenced path does not exist: "), p), {"path": p, "node_type": F.col("node_type")})))
+        add.append(lost.select(*at, *diagnostic("warning", "missing_referenced_file", F.concat(F.lit("Referenced path does not exist in project tree: "), p), {"path": p, "node_type": F.col("node_type")})))
     for d in add:
         out = out.unionByName(d)
     return out

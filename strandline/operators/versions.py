@@ -32,7 +32,7 @@ def newest_ties(mem: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
 def canonical(mem: DataFrame, by: list[str], v: VersionFamilies, files: DataFrame | None = None) -> DataFrame:
     """(by, family, canonical) of the families of mem with more than one member; canonical NULL if the mode can't decide.
 
-    latest_modified takes the existing member modified last; highest_numeric the highest _vN; priority_suffix the first suffix of the list.
+    The mode may begin with prefer_. latest_modified takes the existing member modified last; highest_numeric the highest _vN; priority_suffix the first suffix of the list.
     Ties go to the tie breaker: the member modified last, else the last by name.
     """
     name = paths.basename(F.col("member"))
@@ -47,7 +47,7 @@ def canonical(mem: DataFrame, by: list[str], v: VersionFamilies, files: DataFram
         rank = F.coalesce(rank, F.when(token == s.lower(), -i))
     # the tie breaker takes existing members only
     tie = mtime if v.tiebreaker == "latest_modified" and files is not None else F.lit(None).cast("timestamp")
-    score = {"latest_modified": mtime, "highest_numeric": number, "priority_suffix": rank}[v.mode]
+    score = {"latest_modified": mtime, "highest_numeric": number, "priority_suffix": rank}[v.mode.removeprefix("prefer_")]
     best = F.max(F.when(score.isNotNull(), F.struct(score.alias("s"), tie.alias("t"), F.col("member").alias("m"))))
     return mem.groupBy(*by, "family").agg(F.count("*").alias("_n"), best.alias("_b")).where("_n > 1").select(*by, "family", F.col("_b.m").alias("canonical"))
 

@@ -488,14 +488,14 @@ _YAML = """clusters:
     order: 3
     collapse: true"""
 _SUMMARY = """Project root: /srv/p
-Nodes: 6
-  artifact: 2
-  artifact_placeholder: 1
-  script: 3
+Nodes: 6 (scripts=3, artifacts=2)
 Edges: 6
 Clusters: 3
-Excluded paths: 2
 Diagnostics: 3
+Config effects:
+- View: overview
+- Excluded paths: 2
+- Exclusion presets: generated_outputs,archival_folders,python_runtime
 - [warning] absolute_path_usage: Absolute path 1
 - [warning] absolute_path_usage: Absolute path 2
 - [warning] absolute_path_usage: Absolute path 2"""
@@ -512,7 +512,7 @@ def b04_texts(spark: SparkSession, sf: str) -> DataFrame:
     config.layout.unclustered_artifacts_position = "left"
     plain = re.sub(r', fillcolor="#\w+"(, style="dashed")?\];', r"\1]", text.dot(g, config))
     plain = "\n".join(x for x in plain.split("\n") if not x.startswith(("  graph [", "  node [", "  edge [")))
-    made = {"drawing": plain, "clusters": text.cluster_yaml(g), "summary": text.summary(g), "edges": text.edge_csv(g.edges)}
+    made = {"drawing": plain, "clusters": text.cluster_yaml(g), "summary": text.summary(g, config), "edges": text.edge_csv(g.edges)}
     return spark.createDataFrame([(name, i, line) for name, t in made.items() for i, line in enumerate(t.rstrip("\r\n").splitlines(), 1)], "text string, line int, said string")
 
 
@@ -526,7 +526,7 @@ _SAID = [
     ("clusters", "warning", "cluster_member_not_found", 1),
     ("clusters", "warning", "duplicate_manual_cluster_id", 1),
     ("clusters", "warning", "meta_cluster_cycle", 1),
-    ("clusters", "warning", "meta_cluster_unknown_reference", 1),
+    ("clusters", "warning", "meta_cluster_unknown_ref", 1),
     ("clusters", "info", "manual_clusters_applied", 1),
     ("validated", "warning", "absolute_path_usage", 1),
     ("validated", "info", "excluded_path_inventory", 1),

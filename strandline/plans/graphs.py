@@ -163,7 +163,7 @@ _CHECKS = [
     ("m04_orphan_artifacts", "info", "orphan_artifact", "'Orphan artifact: ' || node_id"),
     ("m05_orphan_nodes", "warning", "orphan_node", "'Node without edges: ' || node_id"),
     ("m07_ambiguous_names", "info", "ambiguous_name", "'Several nodes share a file name: ' || name"),
-    ("m08_missing_files", "warning", "missing_referenced_file", "'Referenced path does not exist: ' || path"),
+    ("m08_missing_files", "warning", "missing_referenced_file", "'Referenced path does not exist in project tree: ' || path"),
 ]
 _ROLES = f"SELECT project_id, 'warning' AS level, 'unknown_file_role' AS code, 'Artifact of unknown role: ' || node_id AS message FROM (WITH {q._NODES} SELECT project_id, node_id, role FROM n WHERE node_type LIKE 'artifact%' AND (role IS NULL OR role NOT IN ({q._LIST(cfg.ARTIFACT_ROLES)})))"
 _NAMES = SQL["m07_ambiguous_names"].replace("FROM nodes WHERE", "FROM n WHERE")

@@ -507,7 +507,7 @@ mem AS (SELECT project_id, cluster_id, unnest(m) AS x FROM c), nod AS (SELECT DI
 SELECT project_id, 'invalid_meta_cluster' AS code, cluster_id, NULL AS subject FROM c WHERE len(n) > 0 AND len(m) > 0
 UNION SELECT project_id, 'empty_manual_cluster', cluster_id, NULL FROM c WHERE len(n) = 0 AND len(m) = 0
 UNION SELECT project_id, 'meta_cluster_self_reference', cluster_id, x FROM mem WHERE x = cluster_id
-UNION SELECT project_id, 'meta_cluster_unknown_reference', cluster_id, x FROM mem WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.project_id = mem.project_id AND c.cluster_id = mem.x)
+UNION SELECT project_id, 'meta_cluster_unknown_ref', cluster_id, x FROM mem WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.project_id = mem.project_id AND c.cluster_id = mem.x)
 UNION SELECT project_id, 'duplicate_manual_cluster_id', cluster_id, NULL FROM c GROUP BY project_id, cluster_id HAVING count(*) > 1
 UNION SELECT project_id, 'duplicate_manual_cluster_member', min(cluster_id), x FROM nod GROUP BY project_id, x HAVING count(*) > 1"""
 )

@@ -105,18 +105,20 @@ def _from_scripts(spark: SparkSession, root: str, files: DataFrame, config: Conf
 def _version_families(g: LineageGraph, config: Config) -> LineageGraph:
     v = config.parser.version_families
     fam = versions.families(g.nodes, [])
-    g = g.say(fam.select(*assemble.diagnostic("info", "version_family_detected", F.concat(F.lit("Version family: "), "family"), {"family": F.col("family"), "members": F.col("members")})))
+    g = g.say(fam.select(*assemble.diagnostic("info", "version_family_detected", F.concat(F.lit("Likely versioned file family detected: "), "family"), {"family": F.col("family"), "members": F.col("members"), "mode": F.lit(v.mode)})))
     mem = cut(versions.members(g.nodes, []), "members")
     several = mem.join(fam.select("family"), "family", "left_semi")
     files = g.files.where("NOT is_dir").select("path", "mtime")
-    if v.mode in ("detect_only", "latest_modified"):
-        ties = versions.newest_ties(several, files, [])
-        g = g.say(ties.select(*assemble.diagnostic("warning", "version_family_ambiguous", F.concat(F.lit("Members of the family were modified at the same time: "), "family"), {"family": F.col("family"), "count": F.col("n")})))
-    if v.mode == "detect_only":
+    ties = versions.newest_ties(several, files, [])
+    g = g.say(ties.select(*assemble.diagnostic("warning", "version_family_ambiguous", F.concat(F.lit("Version family tie on modified time: "), "family"), {"family": F.col("family"), "count": F.col("n")})))
+    if v.mode in ("off", "detect_only"):
         return g
     chosen = cut(versions.canonical(several, [], v, files), "chosen")
     nodes, first, open_ = versions.collapse(g.nodes, g.edges, several, chosen, [])
-    g = g.say(open_.select(*assemble.diagnostic("warning", "version_family_unresolved", F.concat(F.lit("No member could be chosen for the family "), "family"), {"family": F.col("family")})))
+    mode = F.lit(v.mode)
+    told = chosen.where("canonical IS NOT NULL").join(fam.select("family", "members"), "family")
+    g = g.say(told.select(*assemble.diagnostic("info", "version_family_resolved", F.concat(F.lit("Resolved version family to canonical member: "), "family"), {"family": F.col("family"), "chosen": F.col("canonical"), "members": F.col("members"), "mode": mode})))
+    g = g.say(open_.select(*assemble.diagnostic("warning", "version_family_ambiguous", F.concat(F.lit(f"Could not resolve version family under mode {v.mode}: "), "family"), {"family": F.col("family"), "mode": mode})))
     return replace(g, nodes=cut(nodes, "nodes"), edges=cut(first, "edges"))
 
 
@@ -139,7 +141,10 @@ def _artifacts_follow(edges: DataFrame, nodes: DataFrame, protected: DataFrame |
 
 def _manual_clusters(g: LineageGraph, config: Config) -> LineageGraph:
     """J01 to J08 over the configured definitions: members move to the last definition that lists them, emptied clusters go, artifacts follow, clusters of clusters come last."""
-    wanted = config.clusters
+    wanted = [c for c in config.clusters if c.cluster_id.strip()]
+    blank = [("warning", "invalid_manual_cluster", "Skipped a manual cluster definition with an empty id.", {})] * (len(config.clusters) - len(wanted))
+    if blank:
+        g = g.say(blank)
     if not wanted:
         return g
     spark = g.spark
@@ -201,9 +206,9 @@ def _layout(g: LineageGraph, config: Config) -> LineageGraph:
 def _scan_facts(g: LineageGraph, config: Config) -> LineageGraph:
     """K08, L: what the scan found, and settings that have no effect in the view."""
     n = {r.category: r.n for r in g.files.where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n")).collect()}
-    said = [("info", "project_scan", "Files by kind", {k: str(v) for k, v in sorted(n.items())})]
+    said = [("info", "project_scan", "Project discovery completed.", {k: str(v) for k, v in sorted(n.items())})]
     if n.get("excluded"):
-        said.append(("info", "excluded_files", f"{n['excluded']} paths were excluded", {"count": str(n["excluded"])}))
+        said.append(("info", "excluded_files", f"Excluded {n['excluded']} files during discovery.", {"count": str(n["excluded"])}))
     d = config.display
     if d.view in ("scripts_only", "stage_overview") and not d.show_terminal_outputs:
         said.append(("info", "display_option_irrelevant", "show_terminal_outputs has no effect in this view", {"view": d.view}))

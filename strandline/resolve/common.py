@@ -37,6 +37,8 @@ class Context:
     placeholder: str = "{dynamic}"
     literal_only: bool = False
     inherited: dict[str, str] = field(default_factory=dict)
+    #: what is said besides the rows that a reader returns
+    notes: list[dict] = field(default_factory=list)
 
     def relative(self, path: str) -> tuple[str, bool]:
         """The project-relative path and whether it was absolute; the same order of rules as the column function."""
@@ -70,8 +72,11 @@ class Context:
         """An event row of expanded paths; None if no path is left. Paths outside the root carry the suffixes under which they may exist."""
         out, absolute, maybe = [], False, []
         for path in expanded:
+            if EXTERNAL.match(path):
+                self.notes.append(self.diagnostic(line, "info", "external_reference", f"External reference skipped in {self.script}:{line}: {path}", path=path))
+                continue
             norm, was = self.relative(self.from_script(path))
-            if BARE.match(norm) or EXTERNAL.match(path):
+            if BARE.match(norm):
                 continue
             absolute = absolute or was
             if was and (norm.startswith(("..", "/")) or ":" in norm[:3]):

@@ -39,6 +39,8 @@ def parse_scripts(scripts: DataFrame, root: str, config: Config) -> DataFrame:
                     try:
                         text = bytes(content).decode("utf-8", "strict" if language == "stata" else "replace")
                         rows = READERS[language](text, c)
+                        # Stata's reader tells of no services
+                        rows = rows + c.notes if language != "stata" else rows
                     except UnicodeDecodeError:
                         rows = [c.diagnostic(0, "warning", "file_encoding_error", f"Could not decode {script} as UTF-8; file skipped.")]
                 out += [{**x, "language": language} for x in rows]

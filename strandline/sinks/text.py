@@ -164,9 +164,29 @@ def section_index(sections: DataFrame, form: str = "json") -> str:
     return "\n".join(x for s, items in by.items() for x in (s, *(f"  L{i['line']:<4} [{i['level']}]  {i['title']}" for i in items))) + ("\n" if by else "")
 
 
-def summary(graph) -> str:
-    """Counts and diagnostics."""
+def summary(graph, config: Config) -> str:
+    """Counts, what the settings did, and the diagnostics."""
     kinds = {r.node_type: r.n for r in graph.nodes.groupBy("node_type").agg(F.count("*").alias("n")).collect()}
-    found = graph.diagnostics.select("level", "code", "message").collect()
-    lines = [f"Project root: {graph.root}", f"Nodes: {sum(kinds.values())}", *(f"  {k}: {n}" for k, n in sorted(kinds.items())), f"Edges: {graph.edges.count()}", f"Clusters: {graph.clusters.count()}", f"Excluded paths: {len(_excluded(graph))}", f"Diagnostics: {len(found)}"]
+    found = graph.diagnostics
+    found = found.orderBy("diag_id").collect() if "diag_id" in found.columns else found.collect()
+    total = lambda code, key: sum(int(r.payload.get(key) or 0) for r in found if r.code == code)
+    lines = [
+        f"Project root: {graph.root}", f"Nodes: {sum(kinds.values())} (scripts={kinds.get('script', 0)}, artifacts={kinds.get('artifact', 0)})",
+        f"Edges: {graph.edges.count()}", f"Clusters: {graph.clusters.count()}", f"Diagnostics: {len(found)}",
+        "Config effects:", f"- View: {config.display.view}", f"- Excluded paths: {len(_excluded(graph))}",
+    ]
+    if config.exclusions.presets:
+        lines.append(f"- Exclusion presets: {','.join(config.exclusions.presets)}")
+    lines += [f"- Exclusion note: {r.message}" for r in found if r.code == "exclusion_defaults_not_inherited"][:1]
+    shown, hidden, erased = total("temporary_outputs_rendered", "count"), total("temporary_outputs_hidden", "count"), total("temporary_outputs_rendered", "erased_count")
+    notices = [r.message for r in found if r.code == "display_option_irrelevant"]
+    for n, line in (
+        (sum(r.code == "version_family_resolved" for r in found), "- Version families collapsed: {}"),
+        (hidden, "- Temporary outputs hidden: {}"),
+        (shown, "- Temporary outputs shown: {}" + (f" ({erased} erased temp artifacts)" if erased else "")),
+        (len(notices), "- View-specific setting notices: {}"),
+    ):
+        if n:
+            lines.append(line.format(n))
+    lines += [f"  * {m}" for m in notices[:3]]
     return "\n".join(lines + [f"- [{r.level}] {r.code}: {r.message}" for r in found]) + "\n"

@@ -456,7 +456,7 @@ def test_build(spark, project):
     nodes = {n.node_id: n for n in g.nodes.collect()}
     assert nodes["code/03_model.py"].cluster_id == "m1"
     assert nodes["data/clean/panel_v2.dta"].role == "intermediate"
-    for made in (text.dot(g, config), text.dot(g, Config(display=Display(view="stage_overview"))), text.cluster_yaml(g), text.summary(g)):
+    for made in (text.dot(g, config), text.dot(g, Config(display=Display(view="stage_overview"))), text.cluster_yaml(g), text.summary(g, config)):
         assert "m1" in made or "Models" in made or "Project root" in made
     assert json.loads(text.snapshot(g, config))["project_root"] == project
     assert json.loads(text.report(g))["summary"]["nodes"] == len(nodes)
@@ -610,3 +610,23 @@ def test_direction_of_f_string_paths():
     src = 'a = f"fig/p_{k}.png"\nb = f"in/s_{k}.csv"\nopen(x, "w"); c = f"out/t_{k}.pkl"\nd = f"out/u_{k}.csv"; df.to_csv(h)\n'
     got = {(x["normalized_paths"][0], x["is_write"]) for x in python.parse(src, Context("/p", "a.py")) if x["command"] == "fstring_path"}
     assert got == {("fig/p_*.png", True), ("in/s_*.csv", False), ("out/t_*.pkl", True), ("out/u_*.csv", True)}
+
+
+def test_modes_and_services(spark, tmp_path):
+    from strandline.config import CHOICES
+
+    (tmp_path / "a.do").write_text('use "d/p_v2.dta"\nuse "d/p_v10.dta"\nuse "https://x.org/a.dta"\n')
+    (tmp_path / "b.py").write_text('import pandas as pd\npd.read_csv("https://x.org/a.csv")\n')
+    (tmp_path / "d").mkdir()
+    for n in ("p_v2.dta", "p_v10.dta"):
+        (tmp_path / "d" / n).write_text("")
+    config = Config()
+    config.parser.version_families.mode = "prefer_highest_numeric"
+    config.clusters = [ManualCluster(" ", "nameless", ["a.do"])]
+    g = pipeline.build(spark, str(tmp_path), config)
+    said = {(d.code, d.payload.get("chosen") or d.payload.get("path")) for d in g.diagnostics.collect() if d.code in ("version_family_resolved", "external_reference", "invalid_manual_cluster")}
+    assert said == {("version_family_resolved", "d/p_v10.dta"), ("external_reference", "https://x.org/a.csv"), ("invalid_manual_cluster", None)}
+    assert {e.source for e in g.edges.collect()} == {"d/p_v10.dta"}
+    assert {"off", "prefer_priority_suffix"} < set(CHOICES["parser.version_families.mode"])
+    made = text.summary(pipeline.validated(g), config)
+    assert "- View: overview\n" in made and "- Version families collapsed: 1\n" in made
